@@ -1,0 +1 @@
+"""Location-stamped incident analytics on PySpark DataFrames."""
