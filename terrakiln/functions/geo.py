@@ -69,7 +69,7 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 def polyline_distance(px: Column, py: Column, line: Column) -> Column:
     """From a point to a polyline, an array of structs x, y with two vertices or more."""
     steps = F.sequence(F.lit(1), F.size(line) - 1)
-    at = lambda i: line.getItem(i)
+    at = lambda i: line[i]
     return F.array_min(F.transform(steps, lambda i: segment_distance(px, py, at(i - 1)["x"], at(i - 1)["y"], at(i)["x"], at(i)["y"])))
 
 
@@ -80,8 +80,8 @@ def ring_moments(ring: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def add(s: Column, i: Column) -> Column:
-        x0, y0 = ring.getItem(i - 1)["x"] - first["x"], ring.getItem(i - 1)["y"] - first["y"]
-        x1, y1 = ring.getItem(i)["x"] - first["x"], ring.getItem(i)["y"] - first["y"]
+        x0, y0 = ring[i - 1]["x"] - first["x"], ring[i - 1]["y"] - first["y"]
+        x1, y1 = ring[i]["x"] - first["x"], ring[i]["y"] - first["y"]
         cross = x0 * y1 - x1 * y0
         return F.struct((s["a"] + cross).alias("a"), (s["mx"] + (x0 + x1) * cross).alias("mx"), (s["my"] + (y0 + y1) * cross).alias("my"))
 
@@ -117,7 +117,7 @@ def _orientation(p: Column, q: Column, r: Column) -> Column:
 def ring_valid(ring: Column) -> Column:
     """Closed, four vertices or more, with area, and no two of its segments that aren't neighbours cross or touch."""
     n = F.size(ring) - 1
-    at = lambda i: ring.getItem(i)
+    at = lambda i: ring[i]
 
     def cross(i: Column, j: Column) -> Column:
         a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)

@@ -164,7 +164,7 @@ UNION ALL SELECT object_id, lon, lat, alarm, CAST(NULL AS DOUBLE), 0 FROM negati
     "q26_resume_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN o_totalprice END AS elevation FROM orders WHERE o_orderkey % 2 = 0",
     "q27_synthetic_negatives": f"""WITH m AS (SELECT median(l_quantity) AS l_quantity, median(l_extendedprice) AS l_extendedprice, median(l_discount) AS l_discount FROM lineitem)
 SELECT CAST(-i AS BIGINT) AS object_id, round(-124.5e0 + {uniform("i", 104729, 31)} * 10.5e0, 9) AS lon, round(32.5e0 + {uniform("i", 224737, 57)} * 9.5e0, 9) AS lat,
-       make_date(CAST(floor({uniform("i", 350377, 91)} * 25) AS BIGINT) + 2000, CAST(floor({uniform("i", 479909, 91)} * 4) AS BIGINT) + 6, CAST(floor({uniform("i", 611953, 91)} * 27) AS BIGINT) + 1) AS alarm,
+       CAST(make_date(CAST(floor({uniform("i", 350377, 91)} * 25) AS BIGINT) + 2000, CAST(floor({uniform("i", 479909, 91)} * 4) AS BIGINT) + 6, CAST(floor({uniform("i", 611953, 91)} * 27) AS BIGINT) + 1) AS VARCHAR) AS alarm,
        0 AS is_fire, m.* FROM range(1, 26) AS t(i), m""",
     "q28_median_impute": "WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS price FROM orders) SELECT o_orderkey, coalesce(price, (SELECT median(price) FROM p)) AS price FROM p",
     "q29_alarm_year_from_epoch": f"WITH {_EPOCHS} SELECT o_orderkey, CAST(year AS INTEGER) AS year FROM epochs",
@@ -214,8 +214,8 @@ SELECT factor, raw, round(raw / sum(raw) OVER (), 12) AS weight FROM kept""",
   SELECT c_custkey AS point_id, c_custkey % 400 AS raster_id, CAST(c_custkey % 12 - 2 AS INTEGER) AS "row", CAST(c_custkey * 5 % 12 - 2 AS INTEGER) AS col FROM customer)
 SELECT p.point_id, round(median(x.value), 6) AS value FROM points p
 LEFT JOIN pixels x ON x.raster_id = p.raster_id AND abs(x."row" - p."row") <= 2 AND abs(x.col - p.col) <= 2 GROUP BY 1""",
-    "q48_scene_date_range": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) - 60 AS DATE) ELSE make_date(year(o_orderdate), 6, 1) END AS first_day,
-       CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) ELSE make_date(year(o_orderdate), 9, 28) END AS last_day FROM orders""",
+    "q48_scene_date_range": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) - 60 AS DATE) ELSE make_date(year(o_orderdate), 6, 1) END AS VARCHAR) AS first_day,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) ELSE make_date(year(o_orderdate), 9, 28) END AS VARCHAR) AS last_day FROM orders""",
     "q49_year_composite_preference": """WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS a, CASE WHEN vec_id % 3 <> 0 THEN round(CAST(embedding[2] AS DOUBLE), 6) END AS b,
          CASE WHEN vec_id % 5 <> 0 THEN round(CAST(embedding[3] AS DOUBLE), 6) END AS c, CASE WHEN vec_id % 7 <> 0 THEN round(CAST(embedding[4] AS DOUBLE), 6) END AS d FROM embeddings)

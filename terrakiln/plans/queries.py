@@ -228,7 +228,7 @@ def q26_resume_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def q27_synthetic_negatives(spark: SparkSession, d: str) -> DataFrame:
     out = assemble.synthetic_negatives(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 25, P.bounds, P.seed)
-    return out.withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9)})
+    return out.withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9), "alarm": F.col("alarm").cast("string")})
 
 
 def q28_median_impute(spark: SparkSession, d: str) -> DataFrame:
@@ -360,7 +360,7 @@ def q47_window_pixel_median(spark: SparkSession, d: str) -> DataFrame:
 
 def q48_scene_date_range(spark: SparkSession, d: str) -> DataFrame:
     first, last = scalar.scene_dates(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")), F.year("o_orderdate"), (6, 7, 8, 9))
-    return table(spark, d, "orders").select("o_orderkey", first.alias("first_day"), last.alias("last_day"))
+    return table(spark, d, "orders").select("o_orderkey", first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
 
 
 def q49_year_composite_preference(spark: SparkSession, d: str) -> DataFrame:
