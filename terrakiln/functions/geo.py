@@ -75,7 +75,7 @@ def polyline_distance(px: Column, py: Column, line: Column) -> Column:
 
 def ring_moments(ring: Column) -> Column:
     """Struct a, mx, my of a closed ring (array of structs x, y): twice its signed area and its first moments, about its first vertex."""
-    first = ring.getItem(0)
+    first = ring[0]
     steps = F.sequence(F.lit(1), F.size(ring) - 1)
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
@@ -88,11 +88,22 @@ def ring_moments(ring: Column) -> Column:
     return F.when(F.size(ring) >= 4, F.aggregate(steps, zero, add))
 
 
+def ring_point(ring: Column) -> Column:
+    """Struct x, y: the area-weighted centroid; nulls for a ring without area or with fewer than four vertices.
+
+    The moments are bound to a lambda's variable, so that they are computed once.
+    """
+    first = ring[0]
+    return F.transform(
+        F.array(ring_moments(ring)),
+        lambda m: F.struct((first["x"] + F.try_divide(m["mx"], 3 * m["a"])).alias("x"), (first["y"] + F.try_divide(m["my"], 3 * m["a"])).alias("y")),
+    )[0]
+
+
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    """Area-weighted centroid; null for a ring without area or with fewer than four vertices."""
-    m = ring_moments(ring)
-    first = ring.getItem(0)
-    return first["x"] + F.try_divide(m["mx"], 3 * m["a"]), first["y"] + F.try_divide(m["my"], 3 * m["a"])
+    """Coordinates of ring_point()."""
+    point = ring_point(ring)
+    return point["x"], point["y"]
 
 
 def polygon_centroid(rings: Column) -> tuple[Column, Column]:
@@ -101,7 +112,7 @@ def polygon_centroid(rings: Column) -> tuple[Column, Column]:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
     def add(s: Column, r: Column) -> Column:
-        m, first = ring_moments(r), r.getItem(0)
+        m, first = ring_moments(r), r[0]
         return F.struct(
             (s["a"] + m["a"]).alias("a"), (s["x"] + m["a"] * first["x"] + m["mx"] / 3).alias("x"), (s["y"] + m["a"] * first["y"] + m["my"] / 3).alias("y")
         )

@@ -26,14 +26,13 @@ def quality_filter(df: DataFrame, min_acres: float, max_acres: float, methods: l
 
 def checks(ring: Column, alarm: Column, cont: Column, acres: Column, limits: tuple[float, float], bounds: tuple[float, float, float, float], require_cont: bool = True) -> dict[str, Column]:
     """Boolean columns by check. The box is tested, strictly, with the unprojected centroid of the ring."""
-    lon, lat = geo.ring_centroid(ring)
     size = finite(acres.cast("double"))
     out = {
         "has_geometry": ring.isNotNull() & (F.size(ring) > 0),
         "geometry_valid": geo.ring_valid(ring),
         "has_alarm_date": alarm.isNotNull(),
         "reasonable_size": size.between(*limits),
-        "within_california": geo.inside(lon, lat, bounds),
+        "within_california": F.exists(F.array(geo.ring_point(ring)), lambda c: geo.inside(c["x"], c["y"], bounds)),
     }
     if require_cont:
         out |= {"has_cont_date": cont.isNotNull(), "cont_after_alarm": cont >= alarm}
