@@ -31,7 +31,7 @@ def ring(points):
 
 def test_params(tmp_path):
     path = tmp_path / "c.yaml"
-    path.write_text("data:\n  calfire: {min_acres: 20, windows: [1, 2]}\n")
+    path.write_text("data:\n  perimeters: {min_acres: 20, windows: [1, 2]}\n")
     p = params(load_config(str(path)), min_acres=None, seed=7)
     assert (p.min_acres, p.windows, p.seed, p.max_acres) == (20, (1, 2), 7, 1e6)
     (tmp_path / "e.yaml").write_text("")
