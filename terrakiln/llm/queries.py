@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrakiln.llm import decontam, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash, unit_dedup
+from terrakiln.llm import decontam, html_extract, language, line_dedup, mixing, oracles, quality, secret_scan, sharding, simhash, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors, rate and copies of every document."""
     out = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return out.drop("row")
+    return out.drop("row", "digest")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +126,6 @@ SELECT d.doc_id, d.source,
        coalesce(n.n, 0) - coalesce(k.n, 0) AS n_dropped
 FROM documents d LEFT JOIN numbers n ON d.doc_id = n.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
+    "op4_secret_scan": oracles.SECRET_SCAN,
+    "op8_decontamination": oracles.DECONTAMINATION,
 }

@@ -344,3 +344,15 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     assert all(root(n) == r for n, r in got.items()) and len(got) == len({x for e in edges for x in e if e[0] != e[1]})
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_sql(spark, sf, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = db.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
