@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakiln.llm import decontam, mixing, quality, sharding, simhash
@@ -17,25 +17,36 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.annotate(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def key_of(docs: DataFrame) -> Column:
+    """What names a row: its id or, without one, its text's digest; orders as ids do, with the others last."""
+    none = docs["doc_id"].isNull()
+    text = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return F.struct(none.alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), F.when(none, text).otherwise("").alias("text"))
+
+
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, its document of least id (one row of it)."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each near-duplicate component its document of least id, of which one row; ids come before rows without."""
+    groups = simhash.near_duplicates(docs.select(key_of(docs).alias("doc_id"), "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    found = docs.join(kept, key_of(docs) == kept["_key"], "left_semi")
+    named = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return named.unionByName(found.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    """Documents without a benchmark window; rows without an id are told by text."""
+    found = decontam.decontaminate(docs.select(key_of(docs).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("_key"))
+    return docs.join(hit, key_of(docs) == hit["_key"], "left_anti")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; a second copy is a row like the first."""
-    mixed = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(copies, "doc_id").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    """Each document as often as its rate says; a second copy is a row like the first. Id and text tell rows."""
+    mixed = mixing.mix(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
+    same = docs["doc_id"].eqNullSafe(copies["_id"]) & (mixing.digest_of(docs["text"]) == copies["_digest"])
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return docs.join(copies, same).withColumn("_again", again).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

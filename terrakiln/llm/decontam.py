@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -135,7 +136,11 @@ def decontaminate(
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     exact, near, listed = [], [], None
-    for block in blocks(items, item_id, item_text):
+    rest = blocks(items, item_id, item_text)
+    first = list(islice(rest, 2))
+    if len(first) > 1:
+        source = checkpointed(source)  # every block must number the rows alike, whatever `docs` was made of
+    for block in chain(first, rest):
         of_items: dict[tuple[bytes, ...], set[str]] = {}
         for key, words in block:
             for window in windows_of(words, size):
@@ -155,7 +160,7 @@ def decontaminate(
                     context.add(term)
             in_items += [(k, key) for key in keys]
         indexed = checkpointed(index(source, number, frozenset(context), size))
-        # Row numbers are the index's from here on; another block numbers the same rows alike.
+        # Row numbers are the index's from here on.
         listed = indexed.select("doc_id", "row", "n_words") if listed is None else listed
         if wanted:
             a, b = _search(spark, indexed, wanted, in_items, slop)

@@ -49,6 +49,11 @@ def shape(text: Column, words: Column) -> Column:
     return F.array(symbols, F.concat(F.lit("distinct words "), distinct), F.concat(F.lit("length "), F.floor(F.log2(size)).cast("string")))
 
 
+def digest_of(text: Column) -> Column:
+    """The long by which rows with the same id, or none, are told apart."""
+    return F.xxhash64(empty_if_null(text))
+
+
 def features(docs: DataFrame, *keep: str) -> DataFrame:
     """keep, tokens and features: the different words of the whole text and its shape's features."""
     text = empty_if_null(F.col("text"))
@@ -81,19 +86,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float]) -> DataFrame:
-    """(row, doc_id, tokens, p_clean, p_low, p_toxic) of every row of `docs`; `weights` has VOCABULARY rows at most.
+    """(row, doc_id, digest, tokens, p_clean, p_low, p_toxic) of every row of `docs`; `weights` has VOCABULARY rows at most.
 
     Each text is read once; only the few features with a weight leave their row, to be summed by row.
     """
     known = F.array(*[F.lit(w) for (w,) in weights.select("feature").collect()]).cast("array<string>")
-    rows = features(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "row", "doc_id")
-    rows = rows.select("row", "doc_id", "tokens", F.explode_outer(F.array_intersect("features", known)).alias("feature"))
-    scored = rows.join(F.broadcast(weights), "feature", "left").groupBy("row", "doc_id", "tokens").agg(*[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest_of(F.col("text")).alias("digest"), "text")
+    rows = features(rows, "row", "doc_id", "digest")
+    rows = rows.select("row", "doc_id", "digest", "tokens", F.explode_outer(F.array_intersect("features", known)).alias("feature"))
+    scored = rows.join(F.broadcast(weights), "feature", "left").groupBy("row", "doc_id", "digest", "tokens").agg(*[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
     scores = {d: F.lit(math.log(priors[d])) + TEMPER * F.col(d) for d in DOMAINS}
     top = F.greatest(*scores.values())
     raised = {d: F.exp(s - top) for d, s in scores.items()}
     whole = sum(list(raised.values())[1:], raised[DOMAINS[0]])
-    return scored.select("row", "doc_id", "tokens", *[(e / whole).alias(f"p_{d}") for d, e in raised.items()])
+    return scored.select("row", "doc_id", "digest", "tokens", *[(e / whole).alias(f"p_{d}") for d, e in raised.items()])
 
 
 def _inverse_times(m: list[list[float]], b: list[float]) -> list[float]:
@@ -162,16 +168,16 @@ def fit_rates(rows: DataFrame, targets: Targets, rounds: int = 40, tolerance: fl
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Targets | None = None) -> DataFrame:
-    """(row, doc_id, tokens, p_clean, p_low, p_toxic, rate, copies) for every row of `docs` (doc_id, text).
+    """(row, doc_id, digest, tokens, p_clean, p_low, p_toxic, rate, copies) for every row of `docs` (doc_id, text).
 
     `labels`: doc_id, quality, toxic. rate is the expected number of copies; copies is its whole part and one
-    more with the chance of the rest, drawn by a hash of the id, so that runs agree. Null texts have no
-    tokens; repeated rows are rows of their own, of which a hash of id and text decides alike. Labels that
+    more with the chance of the rest, drawn by a hash of the id and digest_of(text), so that runs agree. Null texts have no
+    tokens; repeated rows are rows of their own, drawn alike; rows without an id are told by text. Labels that
     repeat count once (the first domain by name); null labels count for nothing. Empty tables give none.
     """
     slim = docs.select("doc_id", F.col("text"))
     weights, priors = train(slim, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
     rows, _, _ = fit_rates(checkpointed(posteriors(slim, checkpointed(weights), priors)), targets or Targets())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(1729)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", "digest", F.lit(1729)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rows.withColumn("copies", copies.cast("long"))

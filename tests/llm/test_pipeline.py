@@ -38,3 +38,15 @@ def test_stages_take_odd_tables(spark, sf):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).count()
+
+
+def test_rows_without_an_id(spark, sf):
+    prose = " ".join(f"w{i}" for i in range(60))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(7, prose), (3, prose), (None, prose), (None, "a clean " + prose[::-1]), (None, "a clean " + prose[::-1]), (None, item + " " + item)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    alone = sorted(str(r.doc_id) + r.text[:7] for r in corpus_pipeline.stage_near_dedup(spark, docs, sf).collect())
+    assert alone == sorted(["3" + prose[:7], "Nonea clean", "None" + item[:7]])
+    clean = [(r.doc_id, r.text) for r in corpus_pipeline.stage_decontaminate(spark, docs, sf).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, rows[:5]))
+    assert {r.doc_id for r in corpus_pipeline.stage_mix(spark, docs.where("doc_id is null"), sf).collect()} <= {None}
