@@ -38,7 +38,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that repeat an earlier one's."""
-    return unit_dedup.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return unit_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

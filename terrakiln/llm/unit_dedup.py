@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrakiln.llm.common import without
+from terrakiln.llm.common import checkpointed, without
 
 #: A unit's end: of the line, of the paragraph, or of a sentence within its line.
 ENDS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "sentence": re.compile(r"\n|[.!?]+[\"')\]]*(?=\s)")}
@@ -103,6 +104,189 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
     )
 
 
+#: Words of the short windows that point to repeated passages.
+ANCHOR_WORDS = 16
+#: An odd base of rolling digests modulo 2^64 and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+WORD = re.compile(r"\S+")
+
+
+class _Digests(dict):
+    """Digests of words, forgotten when they are many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return out
+
+
+_DIGESTS = _Digests()
+
+
+def window_digests(words: list[str], *sizes: int) -> list[np.ndarray]:
+    """For each size the digests of all windows of so many words, each of at most len(words)."""
+    n = len(words)
+    own = np.fromiter(map(_DIGESTS.__getitem__, words), np.uint64, n)
+    power, back = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+    power[:1] = back[:1] = 1
+    sums = np.r_[np.uint64(0), np.cumsum(own * np.cumprod(power))]
+    back = np.cumprod(back)
+    out = []
+    for size in sizes:
+        x = (sums[size:] - sums[:-size]) * back[: n - size + 1]
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ x >> np.uint64(31))
+    return out
+
+
+def _sliding(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """`of` over each `size` neighbours."""
+    length = 1
+    while length < size:
+        step = min(length, size - length)
+        x = of(x[:-step], x[step:])
+        length += step
+    return x
+
+
+def least_anchors(anchors: np.ndarray, passage: int) -> np.ndarray:
+    """For each window of `passage` words the least digest of the anchors inside: equal windows have equal ones."""
+    return _sliding(anchors, passage - ANCHOR_WORDS + 1, np.minimum)
+
+
+def chosen_anchors(texts: list[tuple[int, list[str]]], passage: int) -> list[tuple[int, int, int]]:
+    """(id, place, digest) of each text's first and last anchor of each digest that is the least of some window; all texts in one go."""
+    words = [w for _, own in texts for w in own]
+    if len(words) < passage:
+        return []
+    (anchors,) = window_digests(words, ANCHOR_WORDS)
+    stops = np.cumsum([len(own) for _, own in texts])
+    of = np.repeat(np.arange(len(texts)), [len(own) for _, own in texts])
+    size = passage - ANCHOR_WORDS + 1
+    least = np.where(of[: len(of) - passage + 1] == of[passage - 1 :], least_anchors(anchors, passage), np.uint64(0))
+    none = np.zeros(size - 1, np.uint64)
+    places = np.flatnonzero((_sliding(np.r_[none, least, none], size, np.maximum) == anchors) & (anchors > 0))
+    first: dict[tuple[int, int], int] = {}
+    last: dict[tuple[int, int], int] = {}
+    for at, k, digest in zip(places.tolist(), of[places].tolist(), anchors[places].view(np.int64).tolist(), strict=True):
+        if first.setdefault((k, digest), at) != at:
+            last[k, digest] = at
+    return [(texts[k][0], at - int(stops[k]) + len(texts[k][1]), digest) for ends in (first, last) for (k, digest), at in ends.items()]
+
+
+def _marks(source: DataFrame, passage: int, unit: str, min_words: int) -> DataFrame:
+    """(doc_id, unit, at, start, end, words, digest): the units, at being the number of words before, and the chosen anchors (words 0)."""
+    kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64()]
+    names = ["doc_id", "unit", "at", "start", "end", "words", "digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            held: list[tuple[int, list[str]]] = []
+            n = 0
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text, before, at = value.as_py(), 0, 0
+                for k, (start, end, words, normal) in enumerate(split_units(text, unit, min_words)):
+                    at += len(text[before:start].split())
+                    digest = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass"))
+                    rows.append((doc, k, at, start, end, words, digest - (digest >> 63 << 64)))
+                    before, at = end, at + words
+                held.append((doc, text.lower().split()))
+                n += len(held[-1][1])
+                if n >= 50_000:
+                    rows += [(key, -1, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)]
+                    held, n = [], 0
+                if len(rows) >= 50_000:
+                    yield made(rows)
+                    rows = []
+            yield made(rows + [(key, -1, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)])
+
+    return source.mapInArrow(run, "doc_id long, unit int, at int, start int, end int, words int, digest long")
+
+
+def _windows(source: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, at, start, end, digest) of the windows of `passage` words whose least anchor is in the column `anchors`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, value, known in zip(*batch.columns, strict=True):
+                text = value.as_py()
+                words = text.lower().split()
+                if len(words) < passage:
+                    continue
+                anchors, whole = window_digests(words, ANCHOR_WORDS, passage)
+                at = np.flatnonzero(np.isin(least_anchors(anchors, passage).view(np.int64), known.values.to_numpy()))
+                place = np.array([m.span() for m in WORD.finditer(text)], np.int32)
+                columns = [np.full(len(at), doc.as_py(), np.int64), at.astype(np.int32), place[at, 0], place[at + passage - 1, 1], whole[at].view(np.int64)]
+                for k in range(0, len(at), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], names=["doc_id", "at", "start", "end", "digest"])
+
+    return source.mapInArrow(run, "doc_id long, at int, start int, end int, digest long")
+
+
+def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = 50, unit: str = "sentence", min_words: int = 6, min_span_words: int = 30) -> DataFrame:
+    """The spans of `repeats` and, wherever they begin and end, of all runs of `passage` words or more that occur earlier.
+
+    Columns as in `repeats`; n_units counts the whole units found by themselves, n_words all words of the span.
+    A window of `passage` words (lower case, white space as one space) goes if it occurs before, by doc_id, then
+    place; spans that meet or overlap are one. Only windows whose least anchor of `ANCHOR_WORDS` words occurs
+    elsewhere are looked up, and equal windows have equal anchors, so none is missed. In a text that repeats
+    with a short period the first period stays. Null ids and texts have no spans. Needs the checkpoint folder.
+    """
+    source = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def placed(rows: DataFrame, *key: str) -> DataFrame:
+        """`rows` with the earliest and the latest place of their key; one shuffle, and the rows' makers run once."""
+        same = Window.partitionBy(*key).orderBy("doc_id", "at")
+        place = F.struct("doc_id", "at")
+        whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return rows.withColumns({"first": F.first(place).over(whole), "last": F.last(place).over(whole)}).where(F.col("first") != F.col("last")).drop("last")
+
+    later = F.struct("doc_id", "at") != F.col("first")
+    found = checkpointed(placed(_marks(source, passage, unit, min_words), "digest", "words").where((F.col("words") == 0) | later))
+    of_doc = Window.partitionBy("doc_id").orderBy("unit")
+    again = found.where("words > 0").dropDuplicates(["doc_id", "unit"])
+    runs = (
+        again.withColumn("run", F.col("unit") - F.row_number().over(of_doc))
+        .groupBy("doc_id", "run")
+        .agg(
+            F.min("at").alias("at"),
+            F.max(F.col("at") + F.col("words")).alias("stop"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.count("*").alias("n_units"),
+            F.sum("words").alias("n_words"),
+            F.collect_set("first.doc_id").alias("kept"),
+        )
+        .where(F.col("n_words") >= min_span_words)
+        .drop("run", "n_words")
+    )
+    anchors = found.where("words = 0").groupBy("doc_id").agg(F.collect_set("digest").alias("anchors"))
+    windows = placed(_windows(source.join(anchors, "doc_id").select("doc_id", "text", "anchors"), passage), "digest").where(later)
+    windows = windows.select("doc_id", "at", (F.col("at") + passage).alias("stop"), "start", "end", F.lit(0).cast("long").alias("n_units"), F.array("first.doc_id").alias("kept"))
+    places = Window.partitionBy("doc_id").orderBy("at", "stop")
+    reach = F.max("stop").over(places.rowsBetween(Window.unboundedPreceding, -1))
+    every = runs.unionByName(windows).withColumn("new", (F.col("at") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    return (
+        every.withColumn("span", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "span")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("n_units").alias("n_units"),
+            (F.max("stop") - F.min("at")).cast("long").alias("n_words"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("kept")))).alias("kept_doc_ids"),
+        )
+        .drop("span")
+    )
+
+
 def remove(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with `spans` cut from its texts and array column kept_offsets of (start, end) in the original.
 

@@ -1,6 +1,7 @@
 import binascii
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -163,6 +164,34 @@ def test_repeats_against_brute_force(docs):
     assert {(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in unit_dedup.repeats(docs).collect()} == expected
 
 
+def test_passages_against_brute_force(spark, sf, docs, odd, empty):
+    own = [f"Own{i} word" for i in range(400)]
+    inner = " ".join(f"Part{i}" + "." * (i % 17 == 16) for i in range(50))
+    planted = [f"{own[0]} {inner} {own[1]}. {own[2]}", f"{own[3]} {own[4]}. x {inner.upper()}\n{own[5]}", f"{inner.replace(' ', chr(10))} {inner} {own[6]}", f"{own[7]} {inner[6:]} {own[8]}", "again so " * 60]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(planted)] + [(10_001, planted[1]), (None, planted[0]), (10_009, None)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in frame.where("doc_id is not null and text is not null").collect()}
+    expected = {(r.doc_id, i) for r in unit_dedup.repeats(frame).collect() for i in range(r.start, r.end)}
+    seen = set()
+    for doc in sorted(texts):
+        places, words = [m.span() for m in re.finditer(r"\S+", texts[doc])], texts[doc].lower().split()
+        for i in range(len(words) - 49):
+            if (w := tuple(words[i : i + 50])) in seen:
+                expected |= {(doc, c) for c in range(places[i][0], places[i + 49][1])}
+            seen.add(w)
+    got = unit_dedup.passages(frame).collect()
+    black = {(d, i) for d, t in texts.items() for i, c in enumerate(t) if not c.isspace()}
+    found = [(r.doc_id, i) for r in got for i in range(r.start, r.end)]
+    assert len(found) == len(set(found)) and set(found) & black == expected & black
+    assert all(len(texts[r.doc_id][r.start : r.end].split()) == r.n_words for r in got)
+    of = {r.doc_id: r for r in got if r.doc_id >= 10_000}
+    assert 10_000 not in of and 10_003 not in of and of[10_001].n_words == 50 and of[10_001].kept_doc_ids == [10_000]
+    assert of[10_002].n_words == 100 and of[10_004].start == len("again so ")
+    assert sorted(got) == sorted(unit_dedup.passages(frame.repartition(5)).collect())
+    spans = QUERIES["op5_substring_dedup"](spark, sf)
+    assert sorted(spans.collect()) == sorted(unit_dedup.passages(docs).collect())
+    assert unit_dedup.passages(empty).count() == 0 and unit_dedup.passages(odd).count() >= 0
+
+
 def test_sharding_law(spark, docs, odd, empty):
     rows = sharding.assign(docs).collect()
     counts = np.bincount([r.shard for r in rows], minlength=24)
