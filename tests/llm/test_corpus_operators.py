@@ -74,6 +74,19 @@ def test_compression_bands():
     assert quality.band_verdict(b"", quality.Bands(), z) == (None, 0, 0, "ok")
 
 
+@pytest.mark.parametrize("size", [300, 700, 1500, 3000, 6000, 10_000, 20_000, 500_000])
+def test_random_text_is_incompressible(docs, size):
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    raw = random.Random(size).randbytes(size)
+    for junk in (binascii.b2a_base64(raw, newline=False), *[raw.hex().encode()] * (size >= 8192)):
+        text = b"\n".join(junk[i : i + 76] for i in range(0, size, 76))[:size]
+        assert quality.band_verdict(text, quality.Bands(), z)[3] == "incompressible"
+    prose = " ".join(r.text for r in docs.where("n_chars between 400 and 4000 and lang = 'en'").orderBy("doc_id").limit(300).collect()).encode()
+    assert len(prose) < size or quality.band_verdict(prose[:size], quality.Bands(), z)[3] in ("ok", "repetitive")
+
+
 def test_line_dedup_against_sql(spark, sf, odd, empty):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
