@@ -27,7 +27,9 @@ class Bands:
     whole: (bytes below which the row holds, least ratio, greatest ratio); short texts carry the frame's own
     bytes and little context, so their bands are wider. The greatest ratios lie between prose (at most 0.52 from
     2 KiB, 0.43 from 16 KiB) and random base64 (at least 0.75), from 8 KiB also below random hex digits (0.51).
-    The chunk band holds for each full chunk; a text fails when more than `bad_chunks` of its chunks are outside.
+    The chunk band holds for each full chunk; the rest, and the parts of texts under `chunk_bytes` (`short_chunks`:
+    least size of a text, size of its parts), have the band of their own length. A text fails when more than
+    `bad_chunks` of its bytes are in parts outside.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
@@ -43,7 +45,15 @@ class Bands:
     )
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.20, 0.65)
+    short_chunks: tuple[tuple[int, int], ...] = ((2048, 1024), (1024, 512))
     bad_chunks: float = 0.25
+
+    def of_length(self, size: int) -> tuple[float, float]:
+        return next((a, b) for below, a, b in self.whole if size < below)
+
+    def step(self, size: int) -> int:
+        """The size of a text's parts; 0 where the text is its only part."""
+        return self.chunk_bytes if size >= self.chunk_bytes else next((step for least, step in self.short_chunks if size >= least), 0)
     level: int = 3
 
 
@@ -99,23 +109,26 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def band_verdict(text: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, str]:
-    """The whole text's ratio, its full chunks, those outside the chunk band, and the verdict."""
+    """The whole text's ratio, its chunks (the rest at the end is one), those outside their band, and the verdict."""
     size = len(text)
     if not size:
         return None, 0, 0, "ok"
     ratio = len(compressor.compress(text)) / size
-    low, high = next((a, b) for below, a, b in bands.whole if size < below)
-    chunks = bad = 0
-    step = bands.chunk_bytes
-    for at in range(0, size - step + 1, step):
+    low, high = bands.of_length(size)
+    chunks = bad = bad_bytes = 0
+    step = bands.step(size)
+    for at in range(0, size, step) if step else ():
+        part = text[at : at + step]
+        least, most = bands.chunk if len(part) == bands.chunk_bytes else bands.of_length(len(part))
         chunks += 1
-        part = len(compressor.compress(text[at : at + step])) / step
-        bad += not bands.chunk[0] <= part <= bands.chunk[1]
+        if not least <= len(compressor.compress(part)) / len(part) <= most:
+            bad += 1
+            bad_bytes += len(part)
     if ratio < low:
         return ratio, chunks, bad, "repetitive"
     if ratio > high:
         return ratio, chunks, bad, "incompressible"
-    return ratio, chunks, bad, "chunks" if bad > bands.bad_chunks * chunks else "ok"
+    return ratio, chunks, bad, "chunks" if bad_bytes > bands.bad_chunks * size else "ok"
 
 
 def judge(text: bytes | None, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple:

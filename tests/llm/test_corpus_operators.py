@@ -87,6 +87,17 @@ def test_random_text_is_incompressible(docs, size):
     assert len(prose) < size or quality.band_verdict(prose[:size], quality.Bands(), z)[3] in ("ok", "repetitive")
 
 
+@pytest.mark.parametrize(("clean", "junk"), [(4096, 4095), (4096, 3000), (2048, 1024), (1024, 1024), (900, 600)])
+def test_every_part_is_judged(docs, clean, junk):
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    prose = " ".join(r.text for r in docs.where("n_chars between 400 and 4000 and lang = 'en'").orderBy("doc_id").limit(30).collect()).encode()
+    noise = binascii.b2a_base64(random.Random(1).randbytes(junk), newline=False)[:junk]
+    assert quality.band_verdict(prose[:clean] + noise, quality.Bands(), z)[3] == "chunks"
+    assert quality.band_verdict(prose[: clean + junk], quality.Bands(), z)[3] == "ok"
+
+
 def test_line_dedup_against_sql(spark, sf, odd, empty):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
