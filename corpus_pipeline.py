@@ -18,23 +18,24 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def key_of(docs: DataFrame) -> Column:
-    """What names a row: its id or, without one, its text's digest; orders as ids do, with the others last."""
-    none = docs["doc_id"].isNull()
+    """What names a row: its id, if any, and its text's digest; orders as ids do, with rows without an id last."""
     text = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return F.struct(none.alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), F.when(none, text).otherwise("").alias("text"))
+    return F.struct(docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), text.alias("text"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component its document of least id, of which one row; ids come before rows without."""
+    """Of each near-duplicate component its document of least id, of which one row; ids come before rows without.
+
+    Rows that share an id but not the text are documents of their own.
+    """
     groups = simhash.near_duplicates(docs.select(key_of(docs).alias("doc_id"), "text"))
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
     found = docs.join(kept, key_of(docs) == kept["_key"], "left_semi")
-    named = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(found.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return found.withColumn("_key", key_of(found)).dropDuplicates(["_key"]).drop("_key")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window; rows without an id are told by text."""
+    """Documents without a benchmark window; id and text tell rows."""
     found = decontam.decontaminate(docs.select(key_of(docs).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.where("contaminated").select(F.col("doc_id").alias("_key"))
     return docs.join(hit, key_of(docs) == hit["_key"], "left_anti")

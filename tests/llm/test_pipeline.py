@@ -50,3 +50,14 @@ def test_rows_without_an_id(spark, sf):
     clean = [(r.doc_id, r.text) for r in corpus_pipeline.stage_decontaminate(spark, docs, sf).collect()]
     assert sorted(map(str, clean)) == sorted(map(str, rows[:5]))
     assert {r.doc_id for r in corpus_pipeline.stage_mix(spark, docs.where("doc_id is null"), sf).collect()} <= {None}
+
+
+def test_rows_that_share_an_id(spark, sf):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(7, one), (7, two), (7, two), (3, one), (8, two + " own"), (8, item + " " + item), (9, one[::-1]), (9, two[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    alone = sorted((r.doc_id, r.text) for r in corpus_pipeline.stage_near_dedup(spark, docs, sf).where("text not like '%own'").collect())
+    assert alone == sorted([(3, one), (7, two), rows[5], *rows[6:]])
+    clean = sorted((r.doc_id, r.text) for r in corpus_pipeline.stage_decontaminate(spark, docs, sf).collect())
+    assert clean == sorted(r for r in rows if r != rows[5])
