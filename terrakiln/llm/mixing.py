@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from terrakiln.llm.common import checkpointed, empty_if_null
 
+LOG = logging.getLogger(__name__)
+
 #: Labelled documents that train the classifier, about, by a hash of their ids; its features, at most.
 SAMPLE_ROWS = 20_000
 VOCABULARY = 1_000
@@ -131,7 +134,7 @@ def fit_rates(rows: DataFrame, targets: Targets, rounds: int = 40, tolerance: fl
     r <- max(0, r - s * p . M^-1 (A r - b)); s halves while the distance to the targets doesn't fall. A
     round is one aggregate of D + D * D sums for D domains; the rates stay in the cluster, as a projection
     of the steps' few numbers that is written out every 10 rounds. It ends when every domain is within
-    `tolerance` of the budget, or no step helps.
+    `tolerance` of the budget, or no step helps; `mix` reports targets that are not reached.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
@@ -167,6 +170,13 @@ def fit_rates(rows: DataFrame, targets: Targets, rounds: int = 40, tolerance: fl
     return rows, reached, dict(zip(DOMAINS, goal, strict=True))
 
 
+def residuals(reached: list[float], goal: dict[str, float], tolerance: float = 1e-4) -> dict[str, float]:
+    """Tokens reached less the goal, as shares of all the goal's, of the domains that are off by more than `tolerance`."""
+    budget = sum(goal.values())
+    off = {d: (x - goal[d]) / budget for d, x in zip(DOMAINS, reached, strict=True)} if budget else {}
+    return {d: x for d, x in off.items() if abs(x) > tolerance}
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: Targets | None = None) -> DataFrame:
     """(row, doc_id, digest, tokens, p_clean, p_low, p_toxic, rate, copies) for every row of `docs` (doc_id, text).
 
@@ -174,10 +184,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Targets | None = None) -> D
     more with the chance of the rest, drawn by a hash of the id and digest_of(text), so that runs agree. Null texts have no
     tokens; repeated rows are rows of their own, drawn alike; rows without an id are told by text. Labels that
     repeat count once (the first domain by name); null labels count for nothing. Empty tables give none.
+    Targets that the posteriors can't meet are logged with what is missing; the rates are the nearest found.
     """
     slim = docs.select("doc_id", F.col("text"))
     weights, priors = train(slim, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    rows, _, _ = fit_rates(checkpointed(posteriors(slim, checkpointed(weights), priors)), targets or Targets())
+    rows, reached, goal = fit_rates(checkpointed(posteriors(slim, checkpointed(weights), priors)), targets or Targets())
+    if off := residuals(reached, goal):
+        LOG.warning("target shares not reached: %s of the goal's tokens", ", ".join(f"{d} {x:+.4f}" for d, x in off.items()))
     draw = F.pmod(F.xxhash64("doc_id", "digest", F.lit(1729)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rows.withColumn("copies", copies.cast("long"))

@@ -362,6 +362,17 @@ def test_mixing(spark, sf, docs, odd, empty):
     assert mixing.mix(empty, labels).count() == 0
 
 
+def test_missed_targets_are_reported(spark, sf, docs, caplog):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    mixing.mix(docs, labels.limit(0))  # equal posteriors: no rate gives unequal shares
+    assert "low +" in caplog.text and "toxic +" in caplog.text
+    caplog.clear()
+    mixing.mix(docs, labels.limit(0), mixing.Targets({"clean": 1.0, "low": 1.0, "toxic": 1.0}))
+    assert not caplog.text
+    assert mixing.residuals([8.0, 1.0, 1.0], {"clean": 8.0, "low": 2.0, "toxic": 0.0}) == {"low": -0.1, "toxic": 0.1}
+    assert mixing.residuals([0.0, 0.0, 0.0], dict.fromkeys(mixing.DOMAINS, 0.0)) == {}
+
+
 def test_rates_against_plain_descent(spark):
     draw = np.random.default_rng(2)
     p = draw.dirichlet((3, 0.6, 0.3), 400)
