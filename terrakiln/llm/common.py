@@ -38,3 +38,29 @@ def url_host(url: Column) -> Column:
     """The lower-case host of a URL without user and port; empty where there is none."""
     authority = F.regexp_extract(empty_if_null(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     return F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$", ""))
+
+
+#: A table of so many rows at most is broadcast by `attach`.
+BROADCAST_ROWS = 10_000
+#: A key of more rows than this, and than a ten-thousandth of all, is dealt over several tasks by `attach`.
+HOT_ROWS = 1_000
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table`, which has one row a key and in column `n` (dropped) about how many of `rows` have it.
+
+    `table` should be cheap to read again. Up to BROADCAST_ROWS rows it is broadcast. A larger one is joined
+    by key, where a hot key's row is repeated and its rows are dealt over the repetitions by a hash of their
+    contents. At most 10,000 keys can be hot, so their list may be broadcast.
+    """
+    size, total = table.agg(F.count("*"), F.sum(n)).first()
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(n)), keys, how)
+    most = max(HOT_ROWS, (total or 0) // 10_000)
+    parts = F.ceil(F.col(n) / F.lit(most)).cast("int")
+    hot = table.where(F.col(n) > most).select(*keys, parts.alias("_parts"))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_parts")).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
+    last = F.when(F.col(n) > most, parts - 1).otherwise(F.lit(0))
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop(n)
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import checkpointed
+from terrakiln.llm.common import attach, checkpointed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,8 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         edges = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    met = edges.join(least, "a")
+    least = checkpointed(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")))
+    met = attach(edges, least, ["a"], "n")
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (long columns a, b); the root is the component's least node.
 
     Alternating large and small stars until nothing changes, each round written to the checkpoint folder;
-    only a count and a checksum come to the driver. Joins on hot centres may be split. No edge, no row.
+    only counts and a checksum come to the driver. A hot centre's edges are dealt over several tasks. No edge, no row.
     """
     now = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import checkpointed, empty_if_null, url_host
+from terrakiln.llm.common import attach, checkpointed, empty_if_null, url_host
 
 #: Hashed byte trigrams of the text model, and the rows that train it, at most: a bounded sample by digest.
 FEATURES = 1 << 14
@@ -19,6 +19,8 @@ SAMPLE_ROWS = 8_000
 TEMPER = 0.25
 #: Pseudo-counts: suffix towards the whole corpus, host towards its suffix, and in the tables of evidence.
 KAPPA_SUFFIX, KAPPA_HOST, KAPPA_EVIDENCE = 20.0, 10.0, 1.0
+#: What fuse() adds, for the result or on the way.
+RESERVED = frozenset("lang probability text_lang posterior n n_rows p of_host of_suffix of_declared".split())
 MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
 
@@ -48,15 +50,19 @@ class TextModel:
         return out - out.max() if len(out) else out
 
 
+def drawn_by(key: str, known: int, sample_rows: int = SAMPLE_ROWS) -> Column:
+    """Whether a row is in the sample that trains the model, of `known` labelled rows."""
+    part = min(1.0, sample_rows / max(1, known))
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))
+
+
 def train(rows: DataFrame, text: str, label: str, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """A model of about `sample_rows` labelled rows, those whose keys hash lowest (null labels and texts are left out).
 
     Each language's trigram counts are summed in Spark; languages * FEATURES numbers come to the driver.
     """
     known = rows.where(F.col(label).isNotNull())
-    part = min(1.0, sample_rows / max(1, known.count()))
-    drawn = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))
-    some = known.where(drawn & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    some = known.where(drawn_by(key, known.count(), sample_rows) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -119,14 +125,15 @@ def _normal(scores: Column) -> Column:
 
 
 def _sums(rows: DataFrame, n: int, *by: str) -> DataFrame:
-    """Soft counts of each language by group, as an array column `n`."""
-    return rows.groupBy(*by).agg(F.array(*[F.sum(F.element_at("p", i + 1)) for i in range(n)]).alias("n"))
+    """Soft counts of each language by group, as an array column `n`, and how many rows it has."""
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.element_at("p", i + 1)) for i in range(n)]).alias("n"), F.count("*").alias("n_rows"))
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """`rows` of evidence() with lang, probability, text_lang and posterior (array in the order of `languages`).
 
-    Columns of these names, or named n, p or of_*, may not be among the ids.
+    `rows` has the columns of evidence(); ids may have any name but these and declared, suffix, host, n_bytes,
+    text_scores, n, n_rows, p, of_host, of_suffix and of_declared: such a name raises ValueError.
     The texts' own posteriors are summed by declared language, by suffix and by host. Host prior: its soft
     counts with KAPPA_HOST pseudo-counts of its suffix, which has KAPPA_SUFFIX of the corpus; the row's own
     part is taken out first. Declared language: P(declared | language), smoothed. The suffix speaks through
@@ -134,6 +141,9 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     or evidence gets the corpus's prior; without any model the language is null.
     """
     n, columns = len(languages), rows.columns
+    lower = [c.lower() for c in columns]
+    if clash := sorted({c for c in lower if lower.count(c) > 1} | set(lower) & RESERVED):
+        raise ValueError(f"columns in the way: {clash}")
     if not n:
         return rows.select("*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.array().cast("array<double>").alias("posterior"))
     rows = rows.withColumn("p", _normal(F.col("text_scores")))
@@ -141,11 +151,12 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     whole = [x or 0.0 for x in whole]
     total = sum(whole) or 1.0
     corpus = [(x + 1.0) / (total + n) for x in whole]
-    hosts = _sums(rows, n, "suffix", "host").withColumnRenamed("n", "of_host")
-    suffixes = _sums(rows, n, "suffix").withColumnRenamed("n", "of_suffix")
-    stated = _sums(rows, n, "declared").withColumnRenamed("n", "of_declared")
+    hosts = checkpointed(_sums(rows, n, "suffix", "host").withColumnRenamed("n", "of_host"))
+    suffixes = checkpointed(_sums(rows, n, "suffix").withColumnRenamed("n", "of_suffix"))
+    stated = checkpointed(_sums(rows, n, "declared").withColumnRenamed("n", "of_declared"))
     kinds = stated.count()
-    rows = rows.join(hosts, ["suffix", "host"]).join(suffixes, "suffix").join(stated, "declared")
+    rows = attach(rows, hosts, ["suffix", "host"], "n_rows")
+    rows = attach(attach(rows, suffixes, ["suffix"], "n_rows"), stated, ["declared"], "n_rows")
 
     def at(name: str, i: int) -> Column:
         return F.element_at(name, i + 1)
@@ -172,7 +183,11 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def identify(parts: list[DataFrame], languages: list[str]) -> DataFrame:
-    """fuse() of the union of evidence tables, which are written to the checkpoint folder first."""
+    """fuse() of the union of evidence tables, which are written to the checkpoint folder first.
+
+    A column that one table lacks is null in its rows. Repeated rows count and come out as often as they come
+    in; null texts, declarations, suffixes and hosts count as empty; empty tables give no rows.
+    """
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other, allowMissingColumns=True)

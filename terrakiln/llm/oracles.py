@@ -30,7 +30,7 @@ WITH docs AS (
 found AS (
 {_FOUND}
 ),
-spread AS (SELECT secret, count(DISTINCT owner) <= 2 AS live FROM found GROUP BY 1),
+spread AS (SELECT secret, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, repository)) <= 4 AS live FROM found GROUP BY 1),
 marked AS (
   SELECT row, kind, live, stop - width AS start, name || ':' || (stop - width)::BIGINT || ':' || stop::BIGINT AS span
   FROM found JOIN spread USING (secret)

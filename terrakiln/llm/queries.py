@@ -60,12 +60,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page and document, fused over both tables.
 
     A page declares it in its markup and has an address; a document's declaration is the column lang and
-    its host the source.
+    its host the source. Documents that trained the text model declare nothing: their label is spent.
     """
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    spent = language.drawn_by("doc_id", docs.where("lang is not null").count())
     model = language.train(docs.select("doc_id", "text", "lang"), "text", "lang")
     of_docs = language.evidence(
-        docs.withColumn("page_id", F.lit(None).cast("long")), "text", False, model, ["doc_id", "page_id"], F.lower("lang"), F.lit(""), F.col("source")
+        docs.withColumn("page_id", F.lit(None).cast("long")), "text", False, model, ["doc_id", "page_id"], F.when(~spent, F.lower("lang")), F.lit(""), F.col("source")
     )
     of_pages = language.evidence(
         pages.withColumn("doc_id", F.lit(None).cast("long")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import checkpointed, empty_if_null
+from terrakiln.llm.common import attach, checkpointed, empty_if_null
 
 
 def _any_case(word: str) -> str:
@@ -44,13 +44,13 @@ def _candidates(text: Column, matches: Column, kind: int) -> Column:
     return F.when(F.size(matches) > 0, zipped)
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repositories: int = 4) -> DataFrame:
     """One row for each row of `df`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     Candidates of all kinds come from whole texts, with offsets in code points from the pieces between the
-    matches. Hashes of their values are counted over the corpus by distinct repositories and owners: up to
-    `max_owners` owners have a value that looks live ('live'), a value in more hands is a copied example. All
-    base spans stay; spans of further kinds join only if live. n_live and n_example count all candidates. A
+    matches. Hashes of their values are counted over the corpus by distinct repositories and owners: a value of
+    up to `max_owners` owners and `max_repositories` repositories looks live ('live'), a value in more hands or
+    more places is a copied example. All base spans stay; spans of further kinds join only if live. n_live and n_example count all candidates. A
     null text counts as empty, a null owner or repository as ''; repeated rows are rows of their own; other
     columns are not read.
     """
@@ -88,10 +88,12 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repository:
         .groupBy("secret", "owner", "repository")
         .agg(F.count("*").alias("n"))
         .groupBy("secret")
-        .agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
-        .select("secret", (F.col("owners") <= max_owners).alias("live"))
+        .agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repositories"), F.sum("n").alias("n"))
+        .select("secret", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"), "n")
     )
-    marked = rows.select("row", "doc_id", "kind", "start", "end", "secret").join(spread, "secret", "left")
+    # Rows without a secret take their number in its place, which keeps them apart; whatever it meets is not read.
+    keyed = rows.select("row", "doc_id", "kind", "start", "end", F.coalesce("secret", "row").alias("secret"))
+    marked = attach(keyed, checkpointed(spread), ["secret"], "n", "left")
     span = F.struct("start", "kind", "end", "live")
     docs = marked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("all"))
     names = F.array(*[F.lit(k[0]) for k in KINDS])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrakiln.llm.common import checkpointed
+from terrakiln.llm.common import attach, checkpointed
 from terrakiln.llm.components import components
 
 SEED = 42
@@ -96,12 +96,11 @@ def _close_in_large(fps: np.ndarray, threshold: int) -> Iterator[tuple[int, int]
                 left = left[~near]
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is linked within each group of equal keys (sorted), a group's size at most."""
+def _close_in_small(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
+    """Close pairs (two lists of index arrays) in groups of equal keys (sorted) of up to SMALL_GROUP, and the larger groups (start, size)."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     ends = np.repeat(starts + sizes, sizes)
-    label = np.arange(len(keys))
     found_a, found_b = [], []
     active = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
     for step in range(1, SMALL_GROUP):
@@ -111,6 +110,35 @@ def _forest(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarr
         near = np.bitwise_count(fps[active] ^ fps[active + step]) <= threshold
         found_a.append(active[near])
         found_b.append(active[near] + step)
+    large = sizes > SMALL_GROUP
+    return found_a, found_b, list(zip(starts[large].tolist(), sizes[large].tolist(), strict=True))
+
+
+def _pieces(block: int, threshold: int) -> list[np.uint64]:
+    """Masks of `threshold` + 1 pieces of the bits outside the block: fingerprints that are close agree on one of them."""
+    first, width = BLOCKS[block]
+    bits = [b for b in range(64) if not first <= b < first + width]
+    return [np.uint64(sum(1 << b for b in bits[k :: threshold + 1])) for k in range(threshold + 1)]
+
+
+def _forest(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what is linked within each group of equal keys (sorted), a group's size at most.
+
+    A group over SMALL_GROUP is split again, by its values on each piece outside its block.
+    """
+    found_a, found_b, large = _close_in_small(keys, fps, threshold)
+    for at, size in large:
+        own = fps[at : at + size]
+        for mask in _pieces(int(keys[at]) >> 32, threshold):
+            order = np.argsort(own & mask)
+            near_a, near_b, rest = _close_in_small((own & mask)[order], own[order], threshold)
+            for start, n in rest:
+                edges = np.array(list(_close_in_large(own[order[start : start + n]], threshold)), np.int64).reshape(-1, 2) + start
+                near_a.append(edges[:, 0])
+                near_b.append(edges[:, 1])
+            found_a += [at + order[x] for x in near_a]
+            found_b += [at + order[x] for x in near_b]
+    label = np.arange(len(keys))
     if found_a:
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         while len(a):  # the least row of each component, by repeated minimum
@@ -121,9 +149,6 @@ def _forest(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarr
             label = label[label]
             if (label == before).all():
                 break
-    for at, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        for root, j in _close_in_large(fps[at : at + size], threshold):
-            label[at + j] = at + root
     moved = np.flatnonzero(label != np.arange(len(keys)))
     return fps[moved], fps[label[moved]]
 
@@ -147,17 +172,18 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             pairs = np.unique(np.stack([a, b]).view(np.int64), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-        held_k, held_f, n = [], [], 0
+        held_k, held_f, n, full = [], [], 0, 200_000
         for batch in batches:
             held_k.append(batch.column(1).to_numpy())
             held_f.append(batch.column(0).to_numpy().view(np.uint64))
             n += batch.num_rows
-            if n >= 200_000:
+            if n >= full:
                 keys, own = np.concatenate(held_k), np.concatenate(held_f)
                 cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
                 if cut:
                     yield made(keys[:cut], own[:cut])
                 held_k, held_f, n = [keys[cut:]], [own[cut:]], len(keys) - cut
+                full = max(200_000, 2 * n)
         if n:
             yield made(np.concatenate(held_k), np.concatenate(held_f))
 
@@ -176,7 +202,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     docs = checkpointed(fingerprints(df, doc_id, text))
     distinct = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
     roots = components(links(distinct.select("fp")))
-    marked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = marked.groupBy("root").agg(F.min("least").alias("component_id"))
-    marked = marked.join(least, "root").select("fp", "component_id", "n_copies")
-    return docs.join(marked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    marked = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = checkpointed(marked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    marked = checkpointed(attach(marked.select("fp", "root", "n_copies"), least, ["root"], "n").select("fp", "component_id", "n_copies"))
+    found = attach(docs, marked.withColumn("n", F.col("n_copies")), ["fp"], "n")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
