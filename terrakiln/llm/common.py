@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that ends a word: space, tab, newline, vertical tab, form feed, return.
@@ -16,12 +17,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A temporary folder serves only where the setting is empty and Spark runs in one process.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`checkpointed` as a Parquet table in the same folder, a fraction of the size; for tables as large as the corpus."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if need be."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -46,15 +60,15 @@ BROADCAST_ROWS = 10_000
 HOT_ROWS = 1_000
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", broadcast_rows: int | None = None) -> DataFrame:
     """`rows` joined with `table`, which has one row a key and in column `n` (dropped) about how many of `rows` have it.
 
-    `table` should be cheap to read again. Up to BROADCAST_ROWS rows it is broadcast. A larger one is joined
+    `table` should be cheap to read again. Up to `broadcast_rows` (BROADCAST_ROWS) rows it is broadcast. A larger one is joined
     by key, where a hot key's row is repeated and its rows are dealt over the repetitions by a hash of their
     contents. At most 10,000 keys can be hot, so their list may be broadcast.
     """
     size, total = table.agg(F.count("*"), F.sum(n)).first()
-    if size <= BROADCAST_ROWS:
+    if size <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         return rows.join(F.broadcast(table.drop(n)), keys, how)
     most = max(HOT_ROWS, (total or 0) // 10_000)
     parts = F.ceil(F.col(n) / F.lit(most)).cast("int")

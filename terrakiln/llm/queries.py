@@ -37,8 +37,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of documents that repeat an earlier one's."""
-    return unit_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Spans of documents that repeat an earlier one's lines or passages, from 50 words on."""
+    return unit_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Substring dedup: hashes of lines, or of the sentences within them, grouped over the whole corpus."""
+"""Substring dedup: hashes of lines, paragraphs or sentences, and of passages of many words, grouped over the whole corpus."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terrakiln.llm.common import checkpointed, without
+from terrakiln.llm.common import attach, checkpointed, stored, without
 
 #: A unit's end: of the line, of the paragraph, or of a sentence within its line.
 ENDS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "sentence": re.compile(r"\n|[.!?]+[\"')\]]*(?=\s)")}
@@ -39,71 +38,6 @@ def split_units(text: str, unit: str, min_words: int) -> list[tuple[int, int, in
     return out
 
 
-UNITS = T.StructType([T.StructField(n, k, False) for n, k in (("unit", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("digest", T.LongType()))])
-
-
-def units(df: DataFrame, doc_id: str, text: str, unit: str = "sentence", min_words: int = 6) -> DataFrame:
-    """(doc_id, unit, start, end, words, digest) of every unit of the whole texts."""
-    source = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[list]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["doc_id", *UNITS.names])
-
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
-                doc = doc.as_py()
-                for k, (start, end, words, normal) in enumerate(split_units(value.as_py(), unit, min_words)):
-                    digest = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass"))
-                    for column, x in zip(rows, (doc, k, start, end, words, digest - (digest >> 63 << 64)), strict=True):
-                        column.append(x)
-                if len(rows[0]) >= 50_000:
-                    yield made(rows)
-                    rows = [[] for _ in range(6)]
-            yield made(rows)
-
-    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType(), False), *UNITS.fields]))
-
-
-def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = 6, min_span_words: int = 30) -> DataFrame:
-    """The spans to remove: doc_id, start, end (code points of the original), n_units, n_words, kept_doc_ids.
-
-    Units with equal normalised text (digest and word count) form a group over the corpus; its earliest (by doc_id, then
-    place) stays and the others go. Neighbouring units that go form one span; spans under `min_span_words`
-    words stay, as phrases and notices that clean documents share. kept_doc_ids: the documents that keep the
-    span's units. A group's size is never held in a task: its earliest unit comes from a partial aggregate,
-    and the join back to its units may be split. Null ids and texts have no units; a document in repeated
-    rows is one document, whose later rows repeat nothing but themselves at the same place. An empty table
-    gives no rows; other columns are not read.
-    """
-    every = units(df, doc_id, text, unit, min_words)
-    key = ["digest", "words"]
-    first = (
-        every.groupBy(*key)
-        .agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select(*key, F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"))
-    )
-    again = every.join(first, key).where((F.col("doc_id") != F.col("kept_doc_id")) | (F.col("unit") != F.col("kept_unit")))
-    again = again.dropDuplicates(["doc_id", "unit"])
-    of_doc = Window.partitionBy("doc_id").orderBy("unit")
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(of_doc))
-    return (
-        runs.groupBy("doc_id", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.count("*").alias("n_units"),
-            F.sum("words").alias("n_words"),
-            F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
-        )
-        .where(F.col("n_words") >= min_span_words)
-        .drop("run")
-    )
-
-
 #: Words of the short windows that point to repeated passages.
 ANCHOR_WORDS = 16
 #: An odd base of rolling digests modulo 2^64 and its inverse.
@@ -177,45 +111,73 @@ def chosen_anchors(texts: list[tuple[int, list[str]]], passage: int) -> list[tup
     return [(texts[k][0], at - int(stops[k]) + len(texts[k][1]), digest) for ends in (first, last) for (k, digest), at in ends.items()]
 
 
-def _marks(source: DataFrame, passage: int, unit: str, min_words: int) -> DataFrame:
-    """(doc_id, unit, at, start, end, words, digest): the units, at being the number of words before, and the chosen anchors (words 0)."""
-    kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64()]
-    names = ["doc_id", "unit", "at", "start", "end", "words", "digest"]
+#: Kinds of marks: an anchor, and the whole text of a copy; other marks are units by their number.
+ANCHOR, WHOLE = -1, -2
+#: What tells a document; rows that share an id but not the text are documents of their own.
+DOC = ["doc_id", "text_hash"]
+#: Copies' ids, and documents with shared anchors, up to so many rows are broadcast to the texts.
+BROADCAST_COPIES = 100_000
+
+
+def _source(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    some = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    return some.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+
+
+def _marks(source: DataFrame, unit: str, min_words: int, passage: int | None) -> DataFrame:
+    """(doc_id, text_hash, unit, at, start, end, words, digest): the units, at being the number of words before.
+
+    With `passage` also the chosen anchors (words 0). Of a copy (copy_of) with so many words only one mark of the
+    whole text, whose digest is copy_of.
+    """
+    kinds = [*[pa.int32()] * 5, pa.int64()]
+    names = ["unit", "at", "start", "end", "words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+        def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            of, *columns = zip(*rows, strict=True) if rows else [[]] * 7
+            of = pa.array(of, pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *[pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]], names=[*DOC, *names])
 
         for batch in batches:
             rows: list[tuple] = []
             held: list[tuple[int, list[str]]] = []
             n = 0
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row, (value, original) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
                 text, before, at = value.as_py(), 0, 0
+                all_words = text.lower().split() if passage else []
+                if original is not None and len(all_words) >= passage:
+                    first = len(text) - len(text.lstrip())
+                    rows.append((row, WHOLE, 0, first, len(text.rstrip()), len(all_words), original))
+                    continue
                 for k, (start, end, words, normal) in enumerate(split_units(text, unit, min_words)):
                     at += len(text[before:start].split())
                     digest = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass"))
-                    rows.append((doc, k, at, start, end, words, digest - (digest >> 63 << 64)))
+                    rows.append((row, k, at, start, end, words, digest - (digest >> 63 << 64)))
                     before, at = end, at + words
-                held.append((doc, text.lower().split()))
-                n += len(held[-1][1])
+                if passage:
+                    held.append((row, all_words))
+                    n += len(all_words)
                 if n >= 50_000:
-                    rows += [(key, -1, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)]
+                    rows += [(key, ANCHOR, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)]
                     held, n = [], 0
                 if len(rows) >= 50_000:
-                    yield made(rows)
+                    yield made(batch, rows)
                     rows = []
-            yield made(rows + [(key, -1, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)])
+            if held:
+                rows += [(key, ANCHOR, place, 0, 0, 0, digest) for key, place, digest in chosen_anchors(held, passage)]
+            yield made(batch, rows)
 
-    return source.mapInArrow(run, "doc_id long, unit int, at int, start int, end int, words int, digest long")
+    return source.select(*DOC, "text", "copy_of").mapInArrow(run, "doc_id long, text_hash long, unit int, at int, start int, end int, words int, digest long")
 
 
 def _windows(source: DataFrame, passage: int) -> DataFrame:
-    """(doc_id, at, start, end, digest) of the windows of `passage` words whose least anchor is in the column `anchors`."""
+    """(doc_id, text_hash, at, start, end, digest) of the windows of `passage` words whose least anchor is in the column `anchors`."""
+    names = [*DOC, "at", "start", "end", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, value, known in zip(*batch.columns, strict=True):
+            for doc, text_hash, value, known in zip(*batch.columns, strict=True):
                 text = value.as_py()
                 words = text.lower().split()
                 if len(words) < passage:
@@ -223,38 +185,33 @@ def _windows(source: DataFrame, passage: int) -> DataFrame:
                 anchors, whole = window_digests(words, ANCHOR_WORDS, passage)
                 at = np.flatnonzero(np.isin(least_anchors(anchors, passage).view(np.int64), known.values.to_numpy()))
                 place = np.array([m.span() for m in WORD.finditer(text)], np.int32)
-                columns = [np.full(len(at), doc.as_py(), np.int64), at.astype(np.int32), place[at, 0], place[at + passage - 1, 1], whole[at].view(np.int64)]
+                key = [np.full(len(at), x.as_py(), np.int64) for x in (doc, text_hash)]
+                columns = [*key, at.astype(np.int32), place[at, 0], place[at + passage - 1, 1], whole[at].view(np.int64)]
                 for k in range(0, len(at), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], names=["doc_id", "at", "start", "end", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], names=names)
 
-    return source.mapInArrow(run, "doc_id long, at int, start int, end int, digest long")
+    return source.select(*DOC, "text", "anchors").mapInArrow(run, "doc_id long, text_hash long, at int, start int, end int, digest long")
 
 
-def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = 50, unit: str = "sentence", min_words: int = 6, min_span_words: int = 30) -> DataFrame:
-    """The spans of `repeats` and, wherever they begin and end, of all runs of `passage` words or more that occur earlier.
+def _placed(rows: DataFrame, *key: str) -> DataFrame:
+    """`rows` whose key stands in two places or more, with `first`, the earliest; rows of a hot key are dealt over tasks."""
+    place = F.struct(*DOC, "at")
+    first = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = checkpointed(first.where(F.col("first") != F.col("last")).select(*key, "first", "n"))
+    return attach(rows, first, list(key), "n")
 
-    Columns as in `repeats`; n_units counts the whole units found by themselves, n_words all words of the span.
-    A window of `passage` words (lower case, white space as one space) goes if it occurs before, by doc_id, then
-    place; spans that meet or overlap are one. Only windows whose least anchor of `ANCHOR_WORDS` words occurs
-    elsewhere are looked up, and equal windows have equal anchors, so none is missed. In a text that repeats
-    with a short period the first period stays. Null ids and texts have no spans. Needs the checkpoint folder.
-    """
-    source = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def placed(rows: DataFrame, *key: str) -> DataFrame:
-        """`rows` with the earliest and the latest place of their key; one shuffle, and the rows' makers run once."""
-        same = Window.partitionBy(*key).orderBy("doc_id", "at")
-        place = F.struct("doc_id", "at")
-        whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return rows.withColumns({"first": F.first(place).over(whole), "last": F.last(place).over(whole)}).where(F.col("first") != F.col("last")).drop("last")
-
-    later = F.struct("doc_id", "at") != F.col("first")
-    found = checkpointed(placed(_marks(source, passage, unit, min_words), "digest", "words").where((F.col("words") == 0) | later))
-    of_doc = Window.partitionBy("doc_id").orderBy("unit")
-    again = found.where("words > 0").dropDuplicates(["doc_id", "unit"])
-    runs = (
-        again.withColumn("run", F.col("unit") - F.row_number().over(of_doc))
-        .groupBy("doc_id", "run")
+
+def _later() -> Column:
+    return F.struct(*DOC, "at") != F.col("first")
+
+
+def _runs(units: DataFrame, min_span_words: int) -> DataFrame:
+    """Neighbouring units (`_placed`, later ones) as runs of `min_span_words` words or more."""
+    of_doc = Window.partitionBy(*DOC).orderBy("unit")
+    return (
+        units.dropDuplicates([*DOC, "unit"])
+        .withColumn("run", F.col("unit") - F.row_number().over(of_doc))
+        .groupBy(*DOC, "run")
         .agg(
             F.min("at").alias("at"),
             F.max(F.col("at") + F.col("words")).alias("stop"),
@@ -262,26 +219,74 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", passage:
             F.max("end").alias("end"),
             F.count("*").alias("n_units"),
             F.sum("words").alias("n_words"),
-            F.collect_set("first.doc_id").alias("kept"),
+            F.sort_array(F.collect_set("first.doc_id")).alias("kept_doc_ids"),
         )
         .where(F.col("n_words") >= min_span_words)
-        .drop("run", "n_words")
+        .drop("run")
     )
-    anchors = found.where("words = 0").groupBy("doc_id").agg(F.collect_set("digest").alias("anchors"))
-    windows = placed(_windows(source.join(anchors, "doc_id").select("doc_id", "text", "anchors"), passage), "digest").where(later)
-    windows = windows.select("doc_id", "at", (F.col("at") + passage).alias("stop"), "start", "end", F.lit(0).cast("long").alias("n_units"), F.array("first.doc_id").alias("kept"))
-    places = Window.partitionBy("doc_id").orderBy("at", "stop")
+
+
+def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 1, min_span_words: int = 1) -> DataFrame:
+    """The spans to remove: doc_id, text_hash, start, end (code points of the original), n_units, n_words, kept_doc_ids.
+
+    Units (lines, paragraphs or sentences) with equal normalised text (digest and word count) form a group over
+    the corpus; its earliest (by doc_id, then place) stays and the others go. Neighbouring units that go form
+    one span. As it is, every repeated unit with a word goes; `min_words` leaves out short units, and spans under
+    `min_span_words` words stay, as phrases and notices that clean documents share. kept_doc_ids: the
+    documents with the earlier units. A group's size is never held in a task: its earliest unit comes from a
+    partial aggregate, and the join back deals a hot group's units over tasks. Null ids and texts have no
+    units; a document in repeated rows is one document; rows that share an id but not the text are documents
+    of their own, told by text_hash (xxhash64 of the text), the lesser first. An empty table gives no rows;
+    other columns are not read. Needs the checkpoint folder.
+    """
+    source = _source(df, doc_id, text).withColumn("copy_of", F.lit(None).cast("long"))
+    every = stored(_marks(source, unit, min_words, None))
+    return _runs(_placed(every, "digest", "words").where(_later()), min_span_words).drop("at", "stop")
+
+
+def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = 50, unit: str = "line", min_words: int = 1, min_span_words: int = 50) -> DataFrame:
+    """The spans of `repeats` and, wherever they begin and end, of all runs of `passage` words or more that occur earlier.
+
+    Columns as in `repeats`; n_units counts the whole units found by themselves, n_words all words of the span.
+    A window of `passage` words (lower case, white space as one space) goes if it occurs before, by doc_id, then
+    place; spans that meet or overlap are one. A text of `passage` words or more that equals an earlier one's goes
+    whole, and nothing else of it is looked at. Only windows whose least anchor of `ANCHOR_WORDS` words occurs
+    elsewhere are looked up, and equal windows have equal anchors, so none is missed. In a text that repeats
+    with a short period the first period stays. kept_doc_ids: earlier documents with the same units, windows or
+    text. Null ids and texts have no spans, ids that several texts share are as in `repeats`. Needs the
+    checkpoint folder.
+    """
+    source = _source(df, doc_id, text)
+    slim = checkpointed(source.select(*DOC, F.xxhash64(F.lit(7), F.col("text")).alias("more")))
+    groups = slim.groupBy("text_hash", "more").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    groups = checkpointed(groups.where("copy_of != most").drop("most"))
+    copies = attach(slim, groups, ["text_hash", "more"], "n").where("doc_id != copy_of").select(*DOC, "copy_of").distinct()
+    copies = checkpointed(copies.withColumn("n", F.lit(1)))
+    source = attach(source, copies, DOC, "n", "left", BROADCAST_COPIES)
+    marks = stored(_marks(source, unit, min_words, passage))
+    found = stored(_placed(marks.where(F.col("unit") != WHOLE), "digest", "words").where((F.col("unit") == ANCHOR) | _later()))
+    runs = _runs(found.where(F.col("unit") != ANCHOR), min_span_words).drop("n_words")
+    anchors = stored(found.where(F.col("unit") == ANCHOR).groupBy(*DOC).agg(F.collect_set("digest").alias("anchors")).withColumn("n", F.lit(1)))
+    shared = attach(_source(df, doc_id, text), anchors, DOC, "n")
+    windows = _placed(stored(_windows(shared, passage)), "digest").where(_later())
+    island = F.col("at") - F.dense_rank().over(Window.partitionBy(*DOC).orderBy("at"))
+    ends = [F.min("at").alias("at"), (F.max("at") + passage).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.lit(0).cast("long").alias("n_units")]
+    windows = windows.select(*DOC, "at", "start", "end", F.col("first.doc_id").alias("kept")).withColumn("island", island)
+    windows = windows.groupBy(*DOC, "island").agg(*ends, F.collect_set("kept").alias("kept_doc_ids")).drop("island")
+    whole = marks.where(F.col("unit") == WHOLE).dropDuplicates(DOC)
+    whole = whole.select(*DOC, "at", F.col("words").alias("stop"), "start", "end", F.lit(0).cast("long").alias("n_units"), F.array("digest").alias("kept_doc_ids"))
+    places = Window.partitionBy(*DOC).orderBy("at", "stop")
     reach = F.max("stop").over(places.rowsBetween(Window.unboundedPreceding, -1))
-    every = runs.unionByName(windows).withColumn("new", (F.col("at") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    every = runs.unionByName(windows).unionByName(whole).withColumn("new", (F.col("at") > F.coalesce(reach, F.lit(-1))).cast("int"))
     return (
         every.withColumn("span", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "span")
+        .groupBy(*DOC, "span")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.sum("n_units").alias("n_units"),
             (F.max("stop") - F.min("at")).cast("long").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("kept")))).alias("kept_doc_ids"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("kept_doc_ids")))).alias("kept_doc_ids"),
         )
         .drop("span")
     )
@@ -290,11 +295,14 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", passage:
 def remove(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with `spans` cut from its texts and array column kept_offsets of (start, end) in the original.
 
-    Columns named kept_offsets are replaced. Rows without spans keep their text.
+    A span belongs to the rows with its doc_id and text_hash. Rows without spans keep their text, null ids and
+    texts too. An input column kept_offsets is replaced; one named _id, _hash, _cut or _offsets raises ValueError.
     """
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    if clash := sorted({c.lower() for c in df.columns} & {"_id", "_hash", "_cut", "_offsets"}):
+        raise ValueError(f"columns in the way: {clash}")
+    per_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     out = without(df, "kept_offsets")
-    out = out.join(per_doc, out[doc_id] == per_doc["_id"], "left").drop("_id")
+    out = out.join(per_doc, (out[doc_id].cast("long") == per_doc["_id"]) & (F.xxhash64(out[text]) == per_doc["_hash"]), "left").drop("_id", "_hash")
     cut = F.coalesce(F.col("_cut"), F.array().cast("array<struct<start:int,end:int>>"))
     size = F.length(F.col(text))
     starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda x: x["end"]))

@@ -159,11 +159,11 @@ def test_units_and_repeats(spark, odd, empty):
     passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen fifteen. " * 1 + "Sixteen a b c d e f g h i j k l m n o p q r s t u v w."
     rows = [(1, f"Start of the very first document here. {passage} End."), (2, f"Others begin so and so with words here. {passage}"), (3, "A clean text that says something else entirely, with many words in it, and no repeats. Really."), (4, None), (None, passage), (5, passage), (5, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in unit_dedup.repeats(df, min_span_words=20).collect()}
+    got = {r.doc_id: r for r in unit_dedup.repeats(df, unit="sentence", min_words=6, min_span_words=20).collect()}
     assert set(got) == {2, 5} and got[2].kept_doc_ids == [1]
     text = rows[1][1]
     assert text[got[2].start : got[2].end] == passage
-    cleaned = {r.doc_id: r for r in unit_dedup.remove(df, unit_dedup.repeats(df, min_span_words=20)).collect()}
+    cleaned = {r.doc_id: r for r in unit_dedup.remove(df, unit_dedup.repeats(df, unit="sentence", min_words=6, min_span_words=20)).collect()}
     assert cleaned[2].text == text.replace(passage, "") and cleaned[4].text is None and cleaned[5].text == ""
     assert "".join(text[a:b] for a, b in cleaned[2].kept_offsets) == cleaned[2].text
     assert unit_dedup.repeats(empty).count() == 0 and unit_dedup.repeats(odd).count() >= 0
@@ -185,7 +185,7 @@ def test_repeats_against_brute_force(docs):
                 run = []
         runs.append((doc, run))
     expected = {(d, r[0][0], r[-1][1], len(r), sum(x[2] for x in r)) for d, r in runs if sum(x[2] for x in r) >= 30}
-    assert {(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in unit_dedup.repeats(docs).collect()} == expected
+    assert {(r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in unit_dedup.repeats(docs, unit="sentence", min_words=6, min_span_words=30).collect()} == expected
 
 
 def test_passages_against_brute_force(spark, sf, docs, odd, empty):
@@ -194,7 +194,7 @@ def test_passages_against_brute_force(spark, sf, docs, odd, empty):
     planted = [f"{own[0]} {inner} {own[1]}. {own[2]}", f"{own[3]} {own[4]}. x {inner.upper()}\n{own[5]}", f"{inner.replace(' ', chr(10))} {inner} {own[6]}", f"{own[7]} {inner[6:]} {own[8]}", "again so " * 60]
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(planted)] + [(10_001, planted[1]), (None, planted[0]), (10_009, None)], "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in frame.where("doc_id is not null and text is not null").collect()}
-    expected = {(r.doc_id, i) for r in unit_dedup.repeats(frame).collect() for i in range(r.start, r.end)}
+    expected = {(r.doc_id, i) for r in unit_dedup.repeats(frame, min_span_words=50).collect() for i in range(r.start, r.end)}
     seen = set()
     for doc in sorted(texts):
         places, words = [m.span() for m in re.finditer(r"\S+", texts[doc])], texts[doc].lower().split()
@@ -212,7 +212,7 @@ def test_passages_against_brute_force(spark, sf, docs, odd, empty):
     assert of[10_002].n_words == 100 and of[10_004].start == len("again so ")
     assert sorted(got) == sorted(unit_dedup.passages(frame.repartition(5)).collect())
     spans = QUERIES["op5_substring_dedup"](spark, sf)
-    assert sorted(spans.collect()) == sorted(unit_dedup.passages(docs).collect())
+    assert sorted(spans.collect()) == sorted(unit_dedup.passages(docs).drop("text_hash").collect())
     assert unit_dedup.passages(empty).count() == 0 and unit_dedup.passages(odd).count() >= 0
 
 
