@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import checkpointed
+from terrakiln.llm.common import stored
 
 WINDOW = 10
-#: Postings are looked up for so many terms of a window, the rarest first.
-PROBES = 2
-#: Items are searched in blocks of so many bytes of text; a block's terms and windows are what is broadcast.
-BLOCK_BYTES = 8_000_000
+#: Items are searched in blocks of about so many bytes of text; a block's words are what is broadcast.
+BLOCK_BYTES = 1_000_000
+#: A segment of the index closes beyond so many words; a longer text is a segment of its own or closes one.
+SEGMENT_WORDS = 200_000
+#: So many places of the rarest terms are followed at once.
+STEP = 1_000_000
 #: Letters to lower case, all ASCII but letters and digits to a space; characters beyond ASCII stay as they are.
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -28,13 +30,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """The item's windows: `size` consecutive words, or all of them if there are fewer; none without words."""
-    if len(words) <= size:
-        return [tuple(words)] if words else []
-    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
-
-
 def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items' ids and words, in blocks of bounded size; items without an id or words have no window."""
     block, size = [], 0
@@ -50,73 +45,182 @@ def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str
         yield block
 
 
-def frequencies(docs: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
-    """How often each of `terms` (a block's) stands in all texts of `docs` (one column)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+def index(docs: DataFrame, gap: int) -> DataFrame:
+    """The positional inverted index of all words of `docs` (doc_id, row, text), one row a segment.
+
+    A segment holds the documents of some consecutive rows of a partition: docs (row, doc_id, words, and the
+    place where it starts; documents are `gap` places apart, so that nothing near spans two), its terms, how
+    many places each has, and the places, term after term and ascending.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value.__contains__
-        counts: Counter = Counter()
+        def made(batch: pa.RecordBatch, first: int, counts: list[int], words: list[bytes]) -> pa.RecordBatch:
+            own = batch.slice(first, len(counts))
+            n = np.array(counts, np.int32)
+            before = np.r_[0, np.cumsum(n[:-1])]
+            starts = np.r_[0, np.cumsum(n[:-1] + gap)].astype(np.int32)
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            terms = coded.indices.to_numpy()
+            places = (np.arange(len(words)) + np.repeat(starts - before, n)).astype(np.int32)
+            sizes = np.bincount(terms, minlength=len(coded.dictionary)).astype(np.int32)
+            columns = [own.column(1), own.column(0), pa.array(n), pa.array(starts), coded.dictionary, pa.array(sizes), pa.array(places[np.argsort(terms, kind="stable")])]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            return pa.RecordBatch.from_arrays(lists, names=["rows", "doc_ids", "counts", "starts", "terms", "sizes", "places"])
+
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                counts.update(filter(held, words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            counts, words, first = [], [], 0
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                own = words_of(text.as_py())
+                counts.append(len(own))
+                words += own
+                if len(words) >= SEGMENT_WORDS:
+                    yield made(batch, first, counts, words)
+                    counts, words, first = [], [], k + 1
+            if counts:
+                yield made(batch, first, counts, words)
+
+    schema = f"rows array<long>, doc_ids array<{kind}>, counts array<int>, starts array<int>, terms array<binary>, sizes array<int>, places array<int>"
+    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
+
+
+class Block:
+    """A block's items, and its windows as rows of term numbers, by length."""
+
+    def __init__(self, block: list[tuple[str, list[bytes]]], size: int) -> None:
+        self.items = [key for key, _ in block]
+        self.size = size
+        number: dict[bytes, int] = {}
+        self.words = [np.array([number.setdefault(w, len(number)) for w in words], np.int32) for _, words in block]
+        self.terms = list(number)
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, the item of each) for each length; fewer words than `size` are one window."""
+        by_length: dict[int, tuple[list, list]] = {}
+        for item, words in enumerate(self.words):
+            length = min(self.size, len(words))
+            rows, of = by_length.setdefault(length, ([], []))
+            made = np.lib.stride_tricks.sliding_window_view(words, length)
+            rows.append(made)
+            of.append(np.full(len(made), item))
+        for rows, of in by_length.values():
+            yield np.concatenate(rows), np.concatenate(of)
+
 
-    return {bytes(t): n for t, n in docs.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n")).collect()}
+def _ranks(windows: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The offsets of each window's terms, the rarest first; ties by the term's bytes (`order`), then the offset."""
+    length = windows.shape[1]
+    key = (counts[windows] * len(order) + order[windows]) * length + np.arange(length)
+    return np.argsort(key, axis=1, kind="stable")
 
 
-def index(docs: DataFrame, terms: dict[bytes, int], context: frozenset[int], size: int) -> DataFrame:
-    """The positional index: docs' columns doc_id and row, n_words, and postings of `terms` (numbered).
+def _search(segment: dict[int, np.ndarray], block: Block, counts: np.ndarray, order: np.ndarray, slop: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(start places, items, length) of one segment's matches, length 0 for near ones; `segment` has the posting lists by term.
 
-    A posting has the term, its position and, for terms of `context`, the words up to `size` - 1 before and
-    after it, with how many stand before: what an exact phrase check needs without the text.
+    Places of a window's rarest term, moved back by its offset, meet the lists of its other terms one after
+    the other, the next rarest first; what is left are the phrase's places. Near: the rarest term and the
+    rarest other one stand as the window has them, up to `slop` places apart.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    known = np.zeros(len(block.terms), bool)
+    known[list(segment)] = True
+    held = sorted(segment)
+    # One sorted list of all postings: the term's place among `held` times the segment's length, and the place.
+    slot = np.zeros(len(block.terms), np.int64)
+    slot[held] = np.arange(len(held))
+    width = end + 2 * (block.size + slop) + 2
+    postings = np.concatenate([segment[t].astype(np.int64) + slot[t] * width for t in held]) if held else np.empty(0, np.int64)
+    firsts = np.r_[0, np.cumsum([len(segment[t]) for t in held])].astype(np.int64)
+
+    def stands(term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = slot[term] * width + place
+        at = np.searchsorted(postings, key)
+        return (place >= 0) & (at < len(postings)) & (postings[np.minimum(at, len(postings) - 1)] == key)
+
+    for windows, items in block.windows():
+        length = windows.shape[1]
+        ranks = _ranks(windows, counts, order)
+        rarest = windows[np.arange(len(windows)), ranks[:, 0]]
+        other = np.take_along_axis(windows, ranks, 1) != rarest[:, None]
+        second = np.where(other.any(1), ranks[np.arange(len(windows)), other.argmax(1)], -1)
+        ok = np.flatnonzero(known[rarest])
+        sizes = np.diff(firsts)[slot[rarest[ok]]]
+        cut = np.searchsorted(np.cumsum(sizes), np.arange(STEP, sizes.sum() + STEP, STEP))
+        for some in np.split(ok, np.unique(np.minimum(cut + 1, len(ok)))):
+            if not len(some):
+                continue
+            n = np.diff(firsts)[slot[rarest[some]]]
+            window = np.repeat(some, n)
+            into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(firsts[slot[rarest[some]]], n)
+            start = postings[into] - slot[rarest[window]] * width - ranks[window, 0]
+            near_window, near_start = window[second[window] >= 0], start[second[window] >= 0]
+            for k in range(1, length):
+                if not len(window):
+                    break
+                offset = ranks[window, k]
+                term = windows[window, offset]
+                met = known[term] & stands(term, start + offset)
+                window, start = window[met], start[met]
+            yield start, items[window], length
+            offset = second[near_window]
+            term = windows[near_window, offset]
+            sure = known[term]
+            near_window, place, term = near_window[sure], (near_start + offset)[sure], term[sure]
+            key = slot[term] * width + np.maximum(place - slop, 0)
+            at = np.searchsorted(postings, key)
+            close = (at < len(postings)) & (postings[np.minimum(at, len(postings) - 1)] <= slot[term] * width + place + slop)
+            # The place of the rarest term itself says in which document the match is.
+            anchor = place - second[near_window] + ranks[near_window, 0]
+            yield anchor[close], items[near_window[close]], 0
+
+
+def search(indexed: DataFrame, block: Block, counts: dict[bytes, int], slop: int) -> DataFrame:
+    """(row, starts, stops, items, near_items) of every document with a match of the block, from the stored index."""
+    n = np.array([counts.get(t, 0) for t in block.terms], np.int64)
+    order = np.empty(len(block.terms), np.int64)
+    order[sorted(range(len(block.terms)), key=block.terms.__getitem__)] = np.arange(len(block.terms))
+    shared = indexed.sparkSession.sparkContext.broadcast((block, n, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        kind = pa.list_(pa.struct([("term", pa.int32()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
+        block, n, order = shared.value
+        wanted = pa.array(block.terms, pa.binary())
+        longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
         for batch in batches:
-            counts, lists = [], []
-            for text in batch.column(2).cast(pa.binary()):
-                words = words_of(text.as_py())
-                counts.append(len(words))
-                own = []
-                if not number.keys().isdisjoint(words):
-                    for at, word in enumerate(words):
-                        if word in number:
-                            term, first = number[word], max(0, at - size + 1)
-                            around = b" ".join(words[first : at + size]).decode() if term in context else None
-                            own.append((term, at, at - first, around))
-                lists.append([dict(zip(("term", "at", "before", "words"), x, strict=True)) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(lists, kind)], names=["doc_id", "row", "n_words", "postings"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_words long, postings array<struct<term:int,at:int,before:int,words:string>>")
-
-
-def _search(spark: SparkSession, indexed: DataFrame, wanted: list[tuple], in_items: list[tuple], slop: int) -> tuple[DataFrame, DataFrame]:
-    """Exact matches (row, item, start, length) and proximity matches (row, item) of one block."""
-    windows = F.broadcast(spark.createDataFrame(wanted, "term int, window int, offset int, probe int, probes int, length int, phrase string"))
-    items = F.broadcast(spark.createDataFrame(in_items, "window int, item string"))
-    found = indexed.select("row", "n_words", F.explode("postings").alias("p")).select("row", "n_words", "p.*")
-    found = found.join(windows, "term").withColumn("start", F.col("at") - F.col("offset"))
-    here = F.array_join(F.slice(F.split("words", " "), F.col("before") - F.col("offset") + 1, F.col("length")), " ")
-    fits = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))
-    fits_and_reads = F.when(fits & (F.col("probe") == 0), here == F.col("phrase")).otherwise(F.lit(False))
-    found = found.select("row", "window", "probe", "probes", "length", "start", fits.alias("fits"), fits_and_reads.alias("reads"))
-    # The lists of a window's rarest terms, moved by their offsets, meet in (row, window, start).
-    exact = (
-        found.where("fits")
-        .groupBy("row", "window", "start")
-        .agg(F.count_distinct("probe").alias("met"), F.first("probes").alias("probes"), F.first("length").alias("length"), F.max("reads").alias("reads"))
-        .where((F.col("met") == F.col("probes")) & F.col("reads"))
-        .join(items, "window")
-        .select("row", "item", F.col("start").cast("long"), F.col("length").cast("long"))
-    )
-    before = Window.partitionBy("row", "window").orderBy("start", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda k: F.last(F.when(F.col("probe") == k, F.col("start")), ignorenulls=True).over(before)
-    near = found.where("probes = 2").withColumn("gap", F.abs(last(0) - last(1))).where(F.col("gap") <= slop)
-    return exact, near.select("row", "window").distinct().join(items, "window").select("row", "item").distinct()
+            for segment in range(batch.num_rows):
+                rows, starts, counts, terms, sizes, places = (batch.column(k)[segment].values for k in range(6))
+                numbers = pc.index_in(terms.cast(pa.binary()), value_set=wanted)
+                met = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False))
+                if not len(met):
+                    continue
+                ends = np.cumsum(sizes.to_numpy())
+                places, sizes = places.to_numpy(), sizes.to_numpy()
+                lists = {t: places[ends[k] - sizes[k] : ends[k]] for k, t in zip(met.tolist(), numbers.take(pa.array(met)).to_pylist(), strict=True)}
+                first = starts.to_numpy().astype(np.int64)
+                out: dict[int, tuple[list, list, set, set]] = {}
+                for start, item, length in _search(lists, block, n, order, slop, int(first[-1] + counts[-1].as_py())):
+                    doc = np.searchsorted(first, start, side="right") - 1
+                    for pair in np.unique(doc * len(block.items) + item).tolist():
+                        own = out.setdefault(pair // len(block.items), ([], [], set(), set()))
+                        own[3].add(block.items[pair % len(block.items)])
+                        if length:
+                            own[2].add(block.items[pair % len(block.items)])
+                    if length:
+                        for place in np.unique(start).tolist():
+                            d = int(np.searchsorted(first, place, side="right") - 1)
+                            out[d][0].append(place - int(first[d]))
+                            out[d][1].append(place - int(first[d]) + length)
+                docs = sorted(out)
+                columns = [rows.take(pa.array(docs, pa.int64())), *[pa.array([list(out[d][k]) for d in docs], longs if k < 2 else names) for k in range(4)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "starts", "stops", "items", "near_items"])
+
+    some = indexed.select("rows", "starts", "counts", "terms", "sizes", "places")
+    return some.mapInArrow(run, "row long, starts array<long>, stops array<long>, items array<string>, near_items array<string>")
+
+
+def frequencies(indexed: DataFrame, block: Block) -> dict[bytes, int]:
+    """How often each of the block's terms stands in all texts."""
+    wanted = F.broadcast(indexed.sparkSession.createDataFrame([(bytearray(t),) for t in block.terms], "term binary"))
+    terms = indexed.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("sizes").alias("n"))).alias("x")).select("x.*")
+    return {bytes(t): n for t, n in terms.join(wanted, "term").groupBy("term").agg(F.sum("n")).collect()}
 
 
 def decontaminate(
@@ -125,60 +229,37 @@ def decontaminate(
     """For every row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
 
     Words: runs of ASCII letters (lower-cased), digits and characters beyond ASCII. A word inside any
-    occurrence of a window of `size` item words is hit. Three steps for each block of items: count the
-    block's terms over the corpus; store postings (with positions) of the rarest `PROBES` terms of each
-    window; join windows to postings by term, move positions by offset, and keep (document, window, start)
-    where all probes meet and the words around the rarest read as the window. n_near_items: items whose two
-    rarest terms of a window stand in it as the item has them, up to `slop` words apart, exact ones included.
-    Null texts have no words; items without words match nothing; a null item_id is no item; equal ids are one
-    item. Repeated rows come out as often as they come in; other columns are not read.
+    occurrence of a window of `size` item words is hit. The documents' postings of all words are stored once,
+    in segments; each block of items reads the lists of its own terms, and in each segment a window's lists,
+    moved by their offsets, are intersected from the rarest on (rarest in all texts). n_near_items: items of
+    which a window occurs, or its two rarest different terms stand as the item has them, up to `slop` words
+    apart. Null texts have no words; items without words match nothing; a null item_id is no item; equal ids
+    are one item. Repeated rows come out as often as they come in; other columns are not read.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    exact, near, listed = [], [], None
-    rest = blocks(items, item_id, item_text)
-    first = list(islice(rest, 2))
-    if len(first) > 1:
-        source = checkpointed(source)  # every block must number the rows alike, whatever `docs` was made of
-    for block in chain(first, rest):
-        of_items: dict[tuple[bytes, ...], set[str]] = {}
-        for key, words in block:
-            for window in windows_of(words, size):
-                of_items.setdefault(window, set()).add(key)
-        counts = frequencies(source.select("text"), {w for window in of_items for w in window})
-        number: dict[bytes, int] = {}
-        wanted, in_items, context = [], [], set()
-        for k, (window, keys) in enumerate(of_items.items()):
-            if any(w not in counts for w in window):
-                continue  # a term that the corpus doesn't have
-            rarest = sorted(range(len(window)), key=lambda i: (counts[window[i]], window[i], i))
-            probes = [rarest[0], *[i for i in rarest[1:] if window[i] != window[rarest[0]]][: PROBES - 1]]
-            for probe, offset in enumerate(probes):
-                term = number.setdefault(window[offset], len(number))
-                wanted.append((term, k, offset, probe, len(probes), len(window), b" ".join(window).decode()))
-                if not probe:
-                    context.add(term)
-            in_items += [(k, key) for key in keys]
-        indexed = checkpointed(index(source, number, frozenset(context), size))
-        # Row numbers are the index's from here on.
-        listed = indexed.select("doc_id", "row", "n_words") if listed is None else listed
-        if wanted:
-            a, b = _search(spark, indexed, wanted, in_items, slop)
-            exact.append(a)
-            near.append(b)
-    if listed is None:
-        listed = index(source, {}, frozenset(), size).select("doc_id", "row", "n_words")
-    if not exact:
-        out = listed.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>"), "n_near_items": F.lit(0)})
+    indexed = stored(index(source, size + slop + 1))
+    of_docs = F.explode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("rows").alias("row"), F.col("counts").alias("n_words")))
+    listed = indexed.select(of_docs.alias("x")).select("x.doc_id", "x.row", F.col("x.n_words").cast("long").alias("n_words"))
+    found = []
+    for own in blocks(items, item_id, item_text):
+        block = Block(own, size)
+        found.append(search(indexed, block, frequencies(indexed, block), slop))
+    if found:
+        matches = stored(reduce(DataFrame.unionByName, found))
+        merged = matches.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "items", "near_items")])
+        spans = F.array_sort(F.arrays_zip("starts", "stops"))
+        hit = F.aggregate(
+            spans,
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("stop")),
+            lambda a, x: F.struct(
+                (a["n"] + F.greatest(F.lit(0).cast("long"), x["stops"] - F.greatest(x["starts"], a["stop"]))).alias("n"), F.greatest(a["stop"], x["stops"]).alias("stop")
+            ),
+            lambda a: a["n"],
+        )
+        merged = merged.select("row", hit.alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("items"), F.size(F.array_distinct("near_items")).alias("n_near_items"))
+        out = listed.join(merged, "row", "left")
     else:
-        matches = reduce(DataFrame.unionByName, exact)
-        spread = Window.partitionBy("row").orderBy("start", "length")
-        stop = F.max(F.col("start") + F.col("length")).over(spread.rowsBetween(Window.unboundedPreceding, -1))
-        fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest(F.col("start"), F.coalesce("stop", F.lit(0))))
-        hits = matches.select("row", "start", "length").distinct().withColumn("stop", stop).groupBy("row").agg(F.sum(fresh).alias("n_hit"))
-        named = matches.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        close = reduce(DataFrame.unionByName, near).groupBy("row").agg(F.count_distinct("item").alias("n_near_items"))
-        out = listed.join(hits, "row", "left").join(named, "row", "left").join(close, "row", "left")
+        out = listed.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>"), "n_near_items": F.lit(0)})
     items_col = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",

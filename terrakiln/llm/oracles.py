@@ -95,7 +95,10 @@ near_windows AS (
   JOIN (SELECT t.row, s.win, t.pos - s.pos AS start FROM tokens t JOIN second s ON t.word = s.word) b
     ON a.row = b.row AND a.win = b.win AND abs(a.start - b.start) <= 3
 ),
-near AS (SELECT row, count(DISTINCT item) AS n_near_items FROM near_windows JOIN in_items USING (win) GROUP BY 1)
+near AS (
+  SELECT row, count(DISTINCT item) AS n_near_items
+  FROM (SELECT row, item FROM near_windows JOIN in_items USING (win) UNION SELECT row, item FROM matches) GROUP BY 1
+)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row) LEFT JOIN near USING (row)
