@@ -45,6 +45,28 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, size=5):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({" ".join(words)} if words else set())
+
+
+def wide_fingerprint(text):
+    """256 bits of the five-word shingles' SimHash, each word of 64 by its own mix of the shingle's digest."""
+    full, out = (1 << 64) - 1, 0
+    own = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text)}
+    for k in range(4):
+        counts = [0] * 64
+        for h in own:
+            x = h + k * 0x9E3779B97F4A7C15 & full
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            x ^= x >> 31
+            for b in range(64):
+                counts[b] += x >> b & 1
+        out |= sum(1 << b for b in range(64) if 2 * counts[b] > len(own)) << 64 * k
+    return out
+
+
 def linked(fps, bits=4):
     """The least index reachable from each of `fps`."""
     parent = list(range(len(fps)))

@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark, sf):
     z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
     kept = sorted(d for d, t in texts.items() if not brute.quality(t)[5] and quality.band_verdict(t.encode(), quality.Bands(), z)[3] == "ok")
     assert ids["quality_rules"] == kept
-    roots = brute.linked([brute.fingerprint(texts[d]) for d in kept])
+    roots = brute.linked([brute.wide_fingerprint(texts[d]) for d in kept], 38)
     kept = [d for i, d in enumerate(kept) if roots[i] == i]
     assert ids["simhash_near_dedup"] == kept
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
