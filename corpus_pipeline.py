@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakiln.llm import decontam, mixing, quality, sharding, simhash
-from terrakiln.llm.common import checkpointed
+from terrakiln.llm.common import shared_folder
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the rules and compression bands."""
+    """Documents within the rules and compression bands; null and empty texts fail, repeated rows are judged alike."""
     return quality.annotate(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -24,11 +24,12 @@ def key_of(docs: DataFrame) -> Column:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component its document of least id, of which one row; ids come before rows without.
+    """Of each component of near copies its document of least id, of which one row; ids come before rows without.
 
-    Rows that share an id but not the text are documents of their own.
+    Near copies: a similarity of 0.8 or more of five-word shingles, as wide SimHash fingerprints tell. Rows that
+    share an id but not the text are documents of their own; all texts without words are copies of one another.
     """
-    groups = simhash.near_duplicates(docs.select(key_of(docs).alias("doc_id"), "text"))
+    groups = simhash.similar_documents(docs.select(key_of(docs).alias("doc_id"), "text"), size=5, similarity=0.8)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
     found = docs.join(kept, key_of(docs) == kept["_key"], "left_semi")
     return found.withColumn("_key", key_of(found)).dropDuplicates(["_key"]).drop("_key")
@@ -42,7 +43,10 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; a second copy is a row like the first. Id and text tell rows."""
+    """Each document as often as its rate says; a second copy is a row like the first. Id and text tell rows.
+
+    Null and empty texts count no tokens and have the rate of their posteriors; rows alike in id and text share a draw.
+    """
     mixed = mixing.mix(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
     same = docs["doc_id"].eqNullSafe(copies["_id"]) & (mixing.digest_of(docs["text"]) == copies["_digest"])
@@ -51,7 +55,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot: every row, null ids and texts too, has a slot of its own."""
     return sharding.shuffled(docs)
 
 
@@ -68,13 +72,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpointed(spark.range(1))  # sets the folder where Spark runs in one process
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written as Parquet in the shared folder and read again; only the last folder stays."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
