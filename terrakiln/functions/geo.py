@@ -126,13 +126,23 @@ def _orientation(p: Column, q: Column, r: Column) -> Column:
 
 
 def ring_valid(ring: Column) -> Column:
-    """Closed, four vertices or more, with area, and no two of its segments that aren't neighbours cross or touch."""
+    """Closed, four vertices or more, with area, and no two of its segments that aren't neighbours cross or touch.
+
+    The ring is bound to a lambda's variable, so that it is made once; segments whose boxes are apart aren't tested.
+    """
+    return F.transform(F.array(ring), _ring_valid)[0]
+
+
+def _ring_valid(ring: Column) -> Column:
     n = F.size(ring) - 1
     at = lambda i: ring[i]
 
     def cross(i: Column, j: Column) -> Column:
         a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-        return (_orientation(a, b, c) * _orientation(a, b, d) <= 0) & (_orientation(c, d, a) * _orientation(c, d, b) <= 0)
+        apart = F.lit(False)
+        for v in "xy":
+            apart = apart | (F.greatest(a[v], b[v]) < F.least(c[v], d[v])) | (F.greatest(c[v], d[v]) < F.least(a[v], b[v]))
+        return ~apart & (_orientation(a, b, c) * _orientation(a, b, d) <= 0) & (_orientation(c, d, a) * _orientation(c, d, b) <= 0)
 
     pairs = F.exists(
         F.sequence(F.lit(0), n - 3), lambda i: F.exists(F.sequence(i + 2, n - 1), lambda j: ~((i == 0) & (j == n - 1)) & cross(i, j))
@@ -156,3 +166,17 @@ def pixel(x: Column, y: Column, affine: tuple[float, float, float, float]) -> tu
 
 def patch_box(lon: Column, lat: Column, buffer: float = 0.001) -> Column:
     return F.struct((lon - buffer).alias("west"), (lat - buffer).alias("south"), (lon + buffer).alias("east"), (lat + buffer).alias("north"))
+
+
+def to_raster(lon: Column, lat: Column, crs: int) -> tuple[Column, Column]:
+    """Degrees to the coordinates of a raster in EPSG 4326 or 5070; another system is an error."""
+    if crs == 4326:
+        return lon, lat
+    if crs == 5070:
+        return albers(lon, lat)
+    raise ValueError(f"unknown reference system {crs}")
+
+
+def pixel_size(affine: tuple[float, float, float, float]) -> float:
+    """Width of a pixel."""
+    return abs(affine[0])

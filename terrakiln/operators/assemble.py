@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrakiln.functions import geo
 from terrakiln.functions.scalar import finite, uniform
 from terrakiln.operators.nearest import outside
+from terrakiln.operators.order import running_total
 
 
 def merge(base: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -52,9 +53,9 @@ def pseudo_absences(
     free = outside(tries, centres.select(cx.alias("cx"), cy.alias("cy")), radius_km * 1000.0)
     # At most `attempts` rows are left, a parameter.
     ordered = free.withColumn("k", F.row_number().over(Window.orderBy("point_id"))).where(F.col("k") <= count)
-    known = dates.where(F.col("alarm").isNotNull()).groupBy("alarm").agg(F.count("*").alias("n"))
-    total = known.agg(F.count("*")).first()[0]
-    numbered = known.withColumn("number", F.row_number().over(Window.orderBy("alarm")) - 1).select("alarm", "number")
+    known = dates.where(F.col("alarm").isNotNull()).select("alarm").distinct()
+    numbered = running_total(known, "alarm", F.lit(1), "number")
+    total = numbered.count()
     ordered = ordered.withColumn("number", (F.col("k") * 7919) % F.lit(max(total, 1)))
     return ordered.join(numbered, "number", "left").select((-F.col("k")).cast("bigint").alias("object_id"), "lon", "lat", "alarm")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrakiln.operators.assemble import impute, medians
 from terrakiln.operators.folds import group_folds, temporal_split
+from terrakiln.operators.order import running_total
 
 #: The columns whose importances make up each exported factor, and the factors that must be there.
 FACTORS = {
@@ -30,12 +31,15 @@ SUM_TOLERANCE = 0.01
 def roc_auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """by, n_pos, n_neg, auc: the share of pairs in order, ties by half; null with one class only.
 
-    Scores are counted first, so that ranks come from running sums over distinct scores: without `by` the
-    distinct scores go through one window, of two counts each.
+    Scores are counted first, so that ranks come from running sums over distinct scores; without `by` these are
+    dealt by ranges of the score.
     """
     per = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    if by:
+        below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = per.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    else:
+        ranked = running_total(per, "_s", F.col("_n"), "_below")
     won = F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n")))
     return ranked.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), won.alias("_won")).select(
         *by, "n_pos", "n_neg", F.try_divide(F.col("_won").cast("double"), 2.0 * F.col("n_pos") * F.col("n_neg")).alias("auc")
@@ -80,6 +84,13 @@ class Trained:
         row = json.dumps({"features": self.features, "medians": self.medians, "metrics": self.metrics, "importances": self.importances})
         spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metrics")
 
+    @classmethod
+    def load(cls, folder: str) -> Trained:
+        """What `save` wrote."""
+        spark = SparkSession.getActiveSession()
+        found = json.loads(spark.read.text(f"{folder}/metrics").first()[0])
+        return cls(RandomForestClassificationModel.load(f"{folder}/model"), found["features"], found["medians"], found["metrics"])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """`df` with prediction and probability of class 1."""
         filled = df.fillna(self.medians, subset=self.features)
@@ -103,15 +114,17 @@ def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 100,
 
 def spatial_cv(df: DataFrame, features: list[str], label: str, group: str, folds: int = 5, **forest) -> DataFrame:
     """fold, n_test, auc, accuracy: each fold's groups held out; medians come from all rows, as the fold's models share them."""
+    spark = df.sparkSession
     placed = df.join(F.broadcast(group_folds(df, group, folds)), group).persist()
-    out = None
+    rows = []
     for k in range(folds):
         train, test = placed.where(F.col("fold") != k), placed.where(F.col("fold") == k)
         scored = fit_forest(train, features, label, fitted_on=placed, **forest).predict(test)
         auc = roc_auc(scored, label, "p1").select("auc")
-        row = confusion(scored, label, "prediction").crossJoin(auc).select(F.lit(k).alias("fold"), (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"), "auc", "accuracy")
-        out = row if out is None else out.unionByName(row)
-    return out
+        row = confusion(scored, label, "prediction").crossJoin(auc).select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"), "auc", "accuracy")
+        rows.append((k, *row.first()))
+    placed.unpersist()
+    return spark.createDataFrame(rows, "fold int, n_test long, auc double, accuracy double")
 
 
 def temporal_holdout(df: DataFrame, features: list[str], label: str, year: str, holdout: int, **forest) -> DataFrame | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from terrakiln.functions import geo
 from terrakiln.operators.model import FACTORS, REQUIRED
 from terrakiln.plans.queries import BOX, EVENTS, FEATURES, SCORE
@@ -55,7 +57,7 @@ def windows(values: dict[str, str], days: tuple[int, ...], summed: tuple[str, ..
 
 
 def trailing(values: dict[str, str], days: tuple[int, ...], summed: tuple[str, ...]) -> str:
-    return f"""WITH a AS (SELECT event_id, user_id, ts AS ignition FROM events WHERE event_id % 5 = 0)
+    return f"""WITH a AS (SELECT event_id, user_id, ts AS ignition FROM events)
 SELECT a.event_id, a.user_id, a.ignition,
        {windows(values, days, summed)}
 FROM a LEFT JOIN events s ON s.user_id = a.user_id AND s.ts >= a.ignition - INTERVAL {max(days)} DAY AND s.ts <= a.ignition
@@ -72,13 +74,10 @@ ranked AS (
 SELECT point_id, segment_id, round(dist, 6) AS dist FROM ranked
 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(dist, 6), segment_id) = 1"""
 
-_TERRAIN = f"""WITH {PIXELS}, cells AS (
-  SELECT c.raster_id, c."row", c.col, c.value AS elevation, (r.value - l.value) / 1e0 AS dx, (b.value - a.value) / 1e0 AS dy
-  FROM pixels c
-  JOIN pixels l ON l.raster_id = c.raster_id AND l."row" = c."row" AND l.col = c.col - 1
-  JOIN pixels r ON r.raster_id = c.raster_id AND r."row" = c."row" AND r.col = c.col + 1
-  JOIN pixels a ON a.raster_id = c.raster_id AND a."row" = c."row" - 1 AND a.col = c.col
-  JOIN pixels b ON b.raster_id = c.raster_id AND b."row" = c."row" + 1 AND b.col = c.col)
+_TERRAIN = """WITH cells AS (
+  SELECT vec_id AS raster_id, CAST(i // 8 AS INTEGER) AS "row", CAST(i % 8 AS INTEGER) AS col, CAST(embedding[i + 1] AS DOUBLE) AS elevation,
+         CAST(embedding[i + 2] AS DOUBLE) - CAST(embedding[i] AS DOUBLE) AS dx, CAST(embedding[i + 9] AS DOUBLE) - CAST(embedding[i - 7] AS DOUBLE) AS dy
+  FROM embeddings, range(0, 64) AS t(i) WHERE i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6)
 """
 _ASPECT = "((degrees(CASE WHEN dx = 0 AND dy = 0 THEN pi() ELSE atan2(dy, -dx) END) + 360e0) % 360e0)"
 
@@ -107,6 +106,24 @@ blocks AS (
   FROM (SELECT block, lon, lat, count(*) AS n FROM repeated GROUP BY 1, 2, 3) GROUP BY 1)"""
 _SCENES = "scenes AS (SELECT p_partkey AS scene_id, p_partkey AS pos, CASE WHEN p_partkey % 13 <> 0 THEN p_size END AS cloud, p_brand AS cell, p_retailprice FROM part)"
 
+
+
+def albers_inverse(x: str, y: str) -> tuple[str, str]:
+    e4, e6 = geo.E2 * geo.E2, geo.E2**3
+    rho = f"sqrt(({x}) * ({x}) + ({geo.RHO0!r} - ({y})) * ({geo.RHO0!r} - ({y})))"
+    theta = f"atan2({x}, {geo.RHO0!r} - ({y}))"
+    beta = f"asin((({geo.SHIFT!r} - ({rho} * {geo.CONE / geo.SEMI_MAJOR!r}) * ({rho} * {geo.CONE / geo.SEMI_MAJOR!r})) / {geo.CONE!r}) / {geo._q(math.pi / 2)!r})"
+    terms = (geo.E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 23 * e4 / 360 + 251 * e6 / 3780, 761 * e6 / 45360)
+    phi = f"({beta} + {terms[0]!r} * sin(2 * {beta}) + {terms[1]!r} * sin(4 * {beta}) + {terms[2]!r} * sin(6 * {beta}))"
+    return f"({geo.ORIGIN[0]!r} + degrees({theta} / {geo.CONE!r}))", f"degrees({phi})"
+
+
+_CORNERS = ", ".join(f"{v} AS {n}{k}" for k, (a, b) in enumerate(((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1))) for n, v in zip("xy", albers(f"(lon + {a}e0)", f"(lat + {b}e0)"), strict=True))
+_LON, _LAT = albers_inverse("cx", "cy")
+_PLON, _PLAT = albers_inverse("px", "py")
+_CATALOGUE = """catalogue AS (
+  SELECT s_suppkey AS scene_id, -124.5e0 + (s_suppkey * 7919 % 10500) / 1000e0 AS lon, 32.5e0 + (s_suppkey * 6007 % 9500) / 1000e0 AS lat, CAST(s_suppkey % 365 AS INTEGER) AS day, s_suppkey % 101 AS cloud FROM supplier)"""
+
 ORACLES: dict[str, str] = {
     "q01_quality_filter": f"WITH {INCIDENTS} SELECT object_id, acres, method FROM incidents WHERE acres BETWEEN 10000 AND 300000 AND method IN (1, 2, 3, 4)",
     "q02_validation_checks": f"WITH {CHECKS} SELECT * FROM checks",
@@ -119,7 +136,7 @@ ORACLES: dict[str, str] = {
     "q07_albers_project": f"WITH {PLACES} SELECT custkey, round({_PX}, 3) AS x_m, round({_PY}, 3) AS y_m FROM places",
     "q08_weather_windows": trailing({"value": "s.value"}, (7, 14, 30), ("value",)),
     "q09_weather_windows_by_var": trailing({v: f"CASE WHEN s.event_type = '{v}' THEN s.value END" for v in EVENTS}, (7,), ("purchase",)),
-    "q10_completeness_gate": """WITH a AS (SELECT DISTINCT user_id, ts AS ignition FROM events WHERE event_id % 5 = 0 AND ts >= TIMESTAMP '1979-01-01'),
+    "q10_completeness_gate": """WITH a AS (SELECT DISTINCT user_id, ts AS ignition FROM events WHERE ts >= TIMESTAMP '1979-01-01'),
 d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)
 SELECT a.user_id, a.ignition, count(d.day) AS n_days
 FROM a LEFT JOIN d ON d.user_id = a.user_id AND d.day BETWEEN CAST(a.ignition - INTERVAL 14 DAY AS DATE) AND CAST(a.ignition AS DATE)
@@ -161,7 +178,7 @@ LEFT JOIN l s ON s.object_id = o_orderkey AND s.n_lines > 3 LEFT JOIN l v ON v.o
     "q25_feature_matrix": f"""WITH {_NEGATIVES}, {INCIDENTS}
 SELECT object_id, round(lon, 9) AS lon, round(lat, 9) AS lat, alarm, acres, 1 AS is_fire FROM incidents
 UNION ALL SELECT object_id, lon, lat, alarm, CAST(NULL AS DOUBLE), 0 FROM negatives""",
-    "q26_resume_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN o_totalprice END AS elevation FROM orders WHERE o_orderkey % 2 = 0",
+    "q26_resume_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN o_totalprice END AS elevation FROM orders",
     "q27_synthetic_negatives": f"""WITH m AS (SELECT median(l_quantity) AS l_quantity, median(l_extendedprice) AS l_extendedprice, median(l_discount) AS l_discount FROM lineitem)
 SELECT CAST(-i AS BIGINT) AS object_id, round(-124.5e0 + {uniform("i", 104729, 31)} * 10.5e0, 9) AS lon, round(32.5e0 + {uniform("i", 224737, 57)} * 9.5e0, 9) AS lat,
        CAST(make_date(CAST(floor({uniform("i", 350377, 91)} * 25) AS BIGINT) + 2000, CAST(floor({uniform("i", 479909, 91)} * 4) AS BIGINT) + 6, CAST(floor({uniform("i", 611953, 91)} * 27) AS BIGINT) + 1) AS VARCHAR) AS alarm,
@@ -220,4 +237,51 @@ LEFT JOIN pixels x ON x.raster_id = p.raster_id AND abs(x."row" - p."row") <= 2
   SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS a, CASE WHEN vec_id % 3 <> 0 THEN round(CAST(embedding[2] AS DOUBLE), 6) END AS b,
          CASE WHEN vec_id % 5 <> 0 THEN round(CAST(embedding[3] AS DOUBLE), 6) END AS c, CASE WHEN vec_id % 7 <> 0 THEN round(CAST(embedding[4] AS DOUBLE), 6) END AS d FROM embeddings)
 SELECT vec_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a ELSE c END AS ndvi, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b ELSE d END AS ndmi FROM e""",
+    "q50_epoch_parse": "SELECT event_id, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 7 <> 0 THEN CAST(event_id * 1000003 AS BIGINT) END AS ms FROM events",
+    "q51_centroid_columns": f"""WITH {INCIDENTS}, corners AS (SELECT object_id, {_CORNERS} FROM incidents WHERE has_ring),
+edges AS (SELECT object_id, x0, y0, x1 - x0 AS ax, y1 - y0 AS ay, x2 - x0 AS bx, y2 - y0 AS "by", x3 - x0 AS dx, y3 - y0 AS dy FROM corners),
+moments AS (SELECT *, ax * "by" - bx * ay AS p, bx * dy - dx * "by" AS q FROM edges),
+centres AS (SELECT object_id, x0 + ((ax + bx) * p + (bx + dx) * q) / (3 * (p + q)) AS cx, y0 + ((ay + "by") * p + ("by" + dy) * q) / (3 * (p + q)) AS cy FROM moments)
+SELECT i.object_id, round({_LON}, 6) AS centroid_lon, round({_LAT}, 6) AS centroid_lat FROM incidents i LEFT JOIN centres c USING (object_id)""",
+    "q52_centroid_fallback": f"""WITH {PLACES} SELECT custkey, CASE WHEN custkey % 7 <> 0 AND custkey % 5 <> 0 THEN c_acctbal ELSE lon END AS centroid_lon,
+       CASE WHEN custkey % 7 <> 0 AND custkey % 5 <> 0 THEN c_acctbal ELSE lat END AS centroid_lat FROM places""",
+    "q53_nodata_to_null": "SELECT o_orderkey, CAST(nullif(o_custkey % 300, 255) AS DOUBLE) AS slope FROM orders",
+    "q54_patch_box": f"WITH {PLACES} SELECT custkey, round(lon - 0.001e0, 6) AS west, round(lat - 0.001e0, 6) AS south, round(lon + 0.001e0, 6) AS east, round(lat + 0.001e0, 6) AS north FROM places",
+    "q55_small_train_fallback": f"WITH {_EPOCHS} SELECT CAST(year AS INTEGER) AS year, count(*) AS n, 0 AS n_test FROM epochs GROUP BY epochs.year",
+    "q56_keyset_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 50",
+    "q57_class_weights": f"WITH {_SCORED} SELECT quality, count(*) AS n, round((SELECT count(*) FROM scored) / (2e0 * count(*)), 12) AS weight FROM scored GROUP BY 1",
+    "q58_greatest_key": "SELECT l_returnflag, max(l_orderkey) AS greatest_key FROM lineitem GROUP BY 1",
+    "q59_albers_inverse": f"""WITH points AS (SELECT c_custkey AS point_id, CAST(c_custkey * 7919 % 10500 * 100 - 2400000 AS DOUBLE) AS px, CAST(c_custkey * 6007 % 9500 * 100 + 1300000 AS DOUBLE) AS py FROM customer)
+SELECT point_id, round({_PLON}, 6) AS lon, round({_PLAT}, 6) AS lat FROM points""",
+    "q60_clamped_cells": f"""WITH {PLACES} SELECT CAST(least(5, greatest(0, trunc((lat - 34e0) / 1e0))) AS INTEGER) AS "row", CAST(least(5, greatest(0, trunc((lon + 122e0) / 1e0))) AS INTEGER) AS col, count(*) AS n FROM places GROUP BY 1, 2""",
+    "q61_weight_rows": f"""WITH {_IMPORTANCES}, mapped(factor, feature) AS (VALUES {_FACTORS}),
+raw AS (SELECT factor, coalesce(max(importance), 0e0) AS raw FROM mapped LEFT JOIN importances USING (feature) GROUP BY 1),
+kept AS (SELECT factor, raw / sum(raw) OVER () AS weight FROM raw WHERE factor IN ({", ".join(f"'{x}'" for x in REQUIRED)}) OR raw > 0)
+SELECT factor, list_aggregate(list_transform(string_split(factor, '_'), lambda w: upper(w[1:1]) || w[2:]), 'string_agg', ' ') AS title, round(weight, 12) AS weight, printf('%.3f', weight) AS label FROM kept""",
+    "q62_year_range": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20",
+    "q63_matched_count": "SELECT count(*) AS n_rows, count(l.k) AS n_matched FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 2 = 0) l ON l.k = o_orderkey",
+    "q64_removed_percent": f"""WITH {REPORT}, n AS (SELECT count(*) AS n_before, count(*) FILTER (failed_checks = '') AS n_after FROM report)
+SELECT n_before, n_after, n_before - n_after AS n_removed, round_even(100e0 * (n_before - n_after) / n_before, 2) AS removed_percent FROM n""",
+    "q65_least_distance": """WITH points AS (SELECT c_custkey AS point_id, CAST(c_custkey * 7919 % 10500 * 100 AS DOUBLE) AS px, CAST(c_custkey * 6007 % 9500 * 100 AS DOUBLE) AS py FROM customer),
+targets AS (SELECT CAST(s_suppkey * 5209 % 10500 * 100 AS DOUBLE) AS ax, CAST(s_suppkey * 8689 % 9500 * 100 AS DOUBLE) AS ay FROM supplier)
+SELECT point_id, round(min(sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay))), 6) AS dist FROM points, targets GROUP BY 1""",
+    "q66_half_to_even": "SELECT l_orderkey, l_linenumber, round_even(CAST(l_quantity AS DOUBLE) * 0.25e0, 1) AS rounded FROM lineitem",
+    "q67_cv_score_rows": f"""WITH {_SCORED}, ranked AS (SELECT fold, quality, rank() OVER (PARTITION BY fold ORDER BY n_chars) + (count(*) OVER (PARTITION BY fold, n_chars) - 1) / 2e0 AS r FROM scored),
+folds AS (SELECT fold, (sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2e0) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0) AS auc FROM ranked GROUP BY 1)
+SELECT fold, 'Fold ' || (fold + 1) AS title, round(auc, 9) AS auc, printf('%.3f', auc) AS label, round(avg(auc) OVER (), 9) AS mean FROM folds WHERE auc IS NOT NULL""",
+    "q68_point_features": f"""WITH {PLACES} SELECT custkey AS object_id, round(lon, 6) AS centroid_lon, round(lat, 6) AS centroid_lat,
+       CASE WHEN custkey % 2 = 0 THEN CAST(custkey % 7 AS DOUBLE) END AS slope, round(lon + lat, 6) AS place FROM places""",
+    "q69_build_matrix": f"""WITH {_NEGATIVES}, {INCIDENTS}
+SELECT object_id, round(lon, 9) AS centroid_lon, round(lat, 9) AS centroid_lat, alarm, 1 AS is_fire, CAST(l.slope AS DOUBLE) AS slope, CAST(NULL AS DOUBLE) AS place, CAST(NULL AS DOUBLE) AS ndvi
+FROM incidents LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS slope FROM lineitem GROUP BY 1) l ON l.l_orderkey = object_id
+UNION ALL SELECT object_id, lon, lat, alarm, 0, CASE WHEN object_id % 2 = 0 THEN CAST(object_id % 7 AS DOUBLE) END, round(lon + lat, 6), 0.5e0 FROM negatives""",
+    "q70_training_table": f"""WITH s AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier)
+SELECT CAST(s_suppkey AS BIGINT) AS object_id, round(-124.5e0 + (s_suppkey * 7919 % 10500) / 1000e0, 9) AS centroid_lon, round(32.5e0 + (s_suppkey * 6007 % 9500) / 1000e0, 9) AS centroid_lat, 1 AS is_fire, s_acctbal FROM s
+UNION ALL SELECT CAST(-i AS BIGINT), round(-124.5e0 + {uniform("i", 104729, 31)} * 10.5e0, 9), round(32.5e0 + {uniform("i", 224737, 57)} * 9.5e0, 9), 0, (SELECT median(s_acctbal) FROM s)
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM s) + 1)) AS i)""",
+    "q71_aligned_groups": "SELECT c_custkey AS object_id, CAST(c_custkey % 10 AS INTEGER) AS spatial_group FROM customer",
+    "q72_scenes_at_points": f"""WITH {PLACES}, {_CATALOGUE}
+SELECT custkey, scene_id FROM places p JOIN catalogue c ON p.lon BETWEEN c.lon - 0.5e0 AND c.lon + 0.5e0 AND p.lat BETWEEN c.lat - 0.5e0 AND c.lat + 0.5e0 AND c.day BETWEEN custkey % 300 AND custkey % 300 + 90""",
+    "q73_scene_search": f"""WITH {_CATALOGUE} SELECT scene_id, day, cloud FROM catalogue
+WHERE day BETWEEN 1 AND 300 AND lon - 0.5e0 <= -116 AND lon + 0.5e0 >= -122 AND lat - 0.5e0 <= 40 AND lat + 0.5e0 >= 34 AND cloud < 60""",
 }

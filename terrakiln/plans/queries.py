@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrakiln.functions import geo, scalar
-from terrakiln.operators import assemble, folds, model, nearest, raster, scenes, validate, weather
+from terrakiln.operators import assemble, build, folds, model, nearest, raster, report, scenes, training, validate, weather
 from terrakiln.params import Params, method_codes
 from terrakiln.session import table
+from terrakiln.sources import fetch
 
 LIMITS = (10_000.0, 300_000.0)
 BOX = (-124.0005, 33.0005, -115.0005, 41.0005)
@@ -86,7 +87,7 @@ def q07_albers_project(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where(F.col("event_id") % 5 == 0).select("event_id", "user_id", F.col("ts").alias("ignition"))
+    return table(spark, d, "events").select("event_id", "user_id", F.col("ts").alias("ignition"))
 
 
 def q08_weather_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +221,7 @@ def q25_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q26_resume_merge(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
+    wanted = table(spark, d, "orders").select("o_orderkey")
     done = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("elevation"))
     kept, todo = assemble.resume(wanted, done, "o_orderkey", F.col("elevation").isNotNull())
     return kept.select("o_orderkey", "elevation").unionByName(todo.withColumn("elevation", F.lit(None).cast("double")))
@@ -369,4 +370,144 @@ def q49_year_composite_preference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", ndvi.alias("ndvi"), ndmi.alias("ndmi"))
 
 
+def q50_epoch_parse(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).when(F.col("event_id") % 13 == 0, F.lit(1e300)).when(F.col("event_id") % 7 != 0, F.col("event_id") * 1000003.0)
+    return table(spark, d, "events").select("event_id", F.unix_millis(scalar.from_epoch_ms(ms)).alias("ms"))
+
+
+def q51_centroid_columns(spark: SparkSession, d: str) -> DataFrame:
+    rows = _incidents(spark, d).select("object_id", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
+    return validate.with_centroid(rows, "rings").select("object_id", F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"))
+
+
+def q52_centroid_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = _customers(spark, d).withColumns({"centroid_lon": F.when(F.col("custkey") % 7 != 0, F.col("c_acctbal")), "centroid_lat": F.when(F.col("custkey") % 5 != 0, F.col("c_acctbal"))})
+    return validate.centroid_or(rows, F.col("lon"), F.col("lat")).select("custkey", "centroid_lon", "centroid_lat")
+
+
+def q53_nodata_to_null(spark: SparkSession, d: str) -> DataFrame:
+    value = (F.col("o_custkey") % 300).cast("double")
+    return table(spark, d, "orders").select("o_orderkey", scalar.known(value, scalar.SLOPE_NODATA).alias("slope"))
+
+
+def q54_patch_box(spark: SparkSession, d: str) -> DataFrame:
+    box = geo.patch_box(F.col("lon"), F.col("lat"))
+    return _customers(spark, d).select("custkey", *[F.round(box[k], 6).alias(k) for k in ("west", "south", "east", "north")])
+
+
+def q55_small_train_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Too few rows before the holdout year, so all rows train."""
+    rows = q29_alarm_year_from_epoch(spark, d)
+    train, test = folds.temporal_split(rows, "year", 1900)
+    return train.groupBy("year").agg(F.count("*").alias("n")).withColumn("n_test", F.lit(test.count()))
+
+
+def q56_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.head(table(spark, d, "orders").where(F.col("o_orderkey") > 1000).select("o_orderkey", "o_custkey"), "o_orderkey", 50)
+
+
+def q57_class_weights(spark: SparkSession, d: str) -> DataFrame:
+    rows = model.balanced_weight(_scored(spark, d), "quality")
+    return rows.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.max("weight"), 12).alias("weight"))
+
+
+def q58_greatest_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.max("l_orderkey").alias("greatest_key"))
+
+
+def q59_albers_inverse(spark: SparkSession, d: str) -> DataFrame:
+    x, y = geo.albers_inverse(F.col("px") - 2_400_000, F.col("py") + 1_300_000)
+    return _points(spark, d).select("point_id", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
+
+
+def q60_clamped_cells(spark: SparkSession, d: str) -> DataFrame:
+    col, row = scenes.cell_of(F.col("lon"), F.col("lat"), (-122.0, 34.0, -116.0, 40.0))
+    return _customers(spark, d).groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("n"))
+
+
+def q61_weight_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = report.weight_rows(model.normalised(model.raw_weights(_importances(spark, d))))
+    return out.withColumn("weight", F.round("weight", 12))
+
+
+def q62_year_range(spark: SparkSession, d: str) -> DataFrame:
+    return fetch.within_years(table(spark, d, "part"), "p_size", 10, 20).select("p_partkey", "p_size")
+
+
+def q63_matched_count(spark: SparkSession, d: str) -> DataFrame:
+    return build.matched(q23_feature_join(spark, d), "n_lines")
+
+
+def q64_removed_percent(spark: SparkSession, d: str) -> DataFrame:
+    rows = _incidents(spark, d)
+    return report.removed(rows, validate.split(rows, _checks())[0])
+
+
+def q65_least_distance(spark: SparkSession, d: str) -> DataFrame:
+    centres = _targets(spark, d).select(F.col("ax").alias("cx"), F.col("ay").alias("cy"))
+    return nearest.least_distance(_points(spark, d), centres).select("point_id", F.round("dist", 6).alias("dist"))
+
+
+def q66_half_to_even(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") * 0.25, 1).alias("rounded"))
+
+
+def q67_cv_score_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.cv_scores(model.roc_auc(_scored(spark, d), "quality", "n_chars", "fold"))
+    return rows.withColumns({"auc": F.round("auc", 9), "mean": F.round("mean", 9)})
+
+
+def _extractors(spark: SparkSession, d: str) -> dict[str, build.Extractor]:
+    """Features of a point by its number: of every second point, and by its place."""
+    return {
+        "terrain": lambda p: p.where("object_id % 2 = 0").select("object_id", (F.col("object_id") % 7).cast("double").alias("slope")),
+        "spatial": lambda p: p.select("object_id", F.round(F.col("centroid_lon") + F.col("centroid_lat"), 6).alias("place"), F.lit(9.0).alias("slope")),
+        "vegetation": lambda p: p.select("object_id", F.lit(0.5).alias("ndvi")),
+    }
+
+
+def q68_point_features(spark: SparkSession, d: str) -> DataFrame:
+    points = _customers(spark, d).select(F.col("custkey").alias("object_id"), "lon", "lat", F.lit(None).cast("timestamp_ntz").alias("alarm"))
+    out = build.point_features(points, _extractors(spark, d), skip=("vegetation",))
+    return out.select("object_id", F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"), "slope", "place")
+
+
+def q69_build_matrix(spark: SparkSession, d: str) -> DataFrame:
+    fires = _incidents(spark, d).select("object_id", F.col("lon").alias("centroid_lon"), F.col("lat").alias("centroid_lat"), "alarm")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("object_id")).agg(F.max("l_quantity").alias("slope"))
+    out = build.build_matrix(fires, {"terrain": lines, "water": None}, lambda n: _negatives(spark, d), _extractors(spark, d), required=("terrain",))
+    return out.select("object_id", F.round("centroid_lon", 9).alias("centroid_lon"), F.round("centroid_lat", 9).alias("centroid_lat"), "alarm", "is_fire", "slope", "place", "ndvi")
+
+
+def q70_training_table(spark: SparkSession, d: str) -> DataFrame:
+    """Fires only, so as many synthetic negatives join them."""
+    lon, lat = _place("s_suppkey")
+    fires = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("object_id"), lon.alias("centroid_lon"), lat.alias("centroid_lat"), F.lit(1).alias("is_fire"), "s_acctbal")
+    out = training.training_table(fires, synthetic=True, bounds=P.bounds, seed=P.seed)
+    return out.select("object_id", F.round("centroid_lon", 9).alias("centroid_lon"), F.round("centroid_lat", 9).alias("centroid_lat"), "is_fire", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+def q71_aligned_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = _customers(spark, d).select(F.col("custkey").alias("object_id"), F.col("lon").alias("centroid_lon"), F.col("lat").alias("centroid_lat"))
+    groups = rows.select("object_id", (F.col("object_id") % P.groups).cast("int").alias("spatial_group"))
+    return training.aligned_groups(rows, groups, P.groups, P.folds).select("object_id", "spatial_group")
+
+
+def q72_scenes_at_points(spark: SparkSession, d: str) -> DataFrame:
+    lon, lat = _place("s_suppkey")
+    catalogue = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("scene_id"), (lon - 0.5).alias("west"), (lon + 0.5).alias("east"), (lat - 0.5).alias("south"), (lat + 0.5).alias("north"), (F.col("s_suppkey") % 365).cast("int").alias("day")
+    )
+    points = _customers(spark, d).select("custkey", "lon", "lat", (F.col("custkey") % 300).cast("int").alias("first_day"), (F.col("custkey") % 300 + 90).cast("int").alias("last_day"))
+    return fetch.scenes_at(points, catalogue).select("custkey", "scene_id")
+
+
+def q73_scene_search(spark: SparkSession, d: str) -> DataFrame:
+    lon, lat = _place("s_suppkey")
+    catalogue = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("scene_id"), (lon - 0.5).alias("west"), (lon + 0.5).alias("east"), (lat - 0.5).alias("south"), (lat + 0.5).alias("north"), (F.col("s_suppkey") % 365).cast("int").alias("day"), (F.col("s_suppkey") % 101).alias("cloud")
+    )
+    return fetch.scenes_between(catalogue, F.lit(1), F.lit(300), (-122.0, 34.0, -116.0, 40.0), 60).select("scene_id", "day", "cloud")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

@@ -96,18 +96,40 @@ def test_terrain(spark):
     assert one(spark, scalar.south_factor(F.lit(0.0)), scalar.south_factor(F.lit(math.nan)), scalar.known(F.lit(255.0), scalar.SLOPE_NODATA))[:] == (0.0, None, None)
 
 
-@pytest.mark.parametrize("side", [300.0, 5000.0])
-def test_nearest_by_grid_equals_plain(spark, monkeypatch, side):
+def plain_nearest(points, segments):
+    """Every point against every segment, in plain Python."""
+    out = {}
+    for i, x, y in points:
+        best = (math.inf, None)
+        for k, ax, ay, bx, by in segments:
+            dx, dy = bx - ax, by - ay
+            t = min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            best = min(best, (math.hypot(x - ax - t * dx, y - ay - t * dy), k))
+        out[i] = (best[1], round(best[0], 6))
+    return out
+
+
+@pytest.mark.parametrize("side", [None, 300.0, 5000.0, 1e6])
+def test_nearest_by_grid_equals_plain(spark, side):
     draw = random.Random(4)
-    points = spark.createDataFrame([(i, draw.uniform(0, 20000), draw.uniform(0, 20000)) for i in range(120)], "point_id int, px double, py double")
-    segments = spark.createDataFrame([(i, *[draw.uniform(0, 20000) for _ in range(2)], *[draw.uniform(0, 20000) for _ in range(2)]) for i in range(30)], "segment_id int, ax double, ay double, bx double, by double")
-    plain = {r.point_id: (r.segment_id, r.dist) for r in nearest.nearest_segment(points, segments).collect()}
-    monkeypatch.setattr(nearest, "BROADCAST_SEGMENTS", 5)
-    grid = {r.point_id: (r.segment_id, r.dist) for r in nearest.nearest_segment(points, segments, side).collect()}
-    assert grid == plain and len(plain) == 120
-    ties = spark.createDataFrame([(1, 0.0, 0.0, 10000.0, 0.0), (2, 0.0, 10.0, 10000.0, 10.0)], segments.schema)
-    r = nearest.nearest_segment_plain(spark.createDataFrame([(1, 5000.0, 5.0)], points.schema), ties).first()
-    assert (r.segment_id, r.dist) == (1, 5.0)
+    kinds = ("point_id int, px double, py double", "segment_id int, ax double, ay double, bx double, by double")
+    points = [(i, draw.uniform(0, 20000), draw.uniform(0, 20000)) for i in range(120)] + [(500, 1e5, -3e4), (501, -2000.0, 5.0)]
+    segments = [(i, *[draw.uniform(0, 20000) for _ in range(4)]) for i in range(30)] + [(40, 5.0, 5.0, 5.0, 9000.0), (41, 1.0, 300.0, 9000.0, 300.0), (42, 600.0, 600.0, 600.0, 600.0)]
+    got = nearest.nearest_segment(spark.createDataFrame(points, kinds[0]), spark.createDataFrame(segments, kinds[1]), side).collect()
+    assert {r.point_id: (r.segment_id, round(r.dist, 6)) for r in got} == plain_nearest(points, segments) and len(got) == len(points)
+
+
+def test_nearest_of_odd_tables(spark):
+    kinds = ("point_id int, px double, py double", "segment_id int, ax double, ay double, bx double, by double")
+    ties = [(2, 0.0, 10.0, 10000.0, 10.0), (1, 0.0, 0.0, 10000.0, 0.0), (None, 5000.0, 5.0, 5000.0, 5.0), (3, math.nan, 5.0, 5000.0, 5.0)]
+    points = [(1, 5000.0, 5.0), (1, 5000.0, 5.0), (1, 5000.0, 9.0), (2, None, 1.0), (3, math.nan, 1.0), (None, 5000.0, 5.0)]
+    rows = nearest.nearest_segment(spark.createDataFrame(points, kinds[0]), spark.createDataFrame(ties, kinds[1])).collect()
+    assert sorted(((r.point_id or 0, r.segment_id or 0, r.dist) for r in rows), key=str) == sorted([(1, 1, 5.0), (1, 1, 5.0), (1, 2, 1.0), (2, 0, None), (3, 0, None), (0, 1, 5.0)], key=str)
+    none = spark.createDataFrame([], kinds[1])
+    assert [r.segment_id for r in nearest.nearest_segment(spark.createDataFrame(points[:2], kinds[0]), none).collect()] == [None, None]
+    assert nearest.nearest_segment(spark.createDataFrame([], kinds[0]), spark.createDataFrame(ties, kinds[1])).count() == 0
+    centres = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0), (3.0, 4.0)], "cx double, cy double")
+    assert [r.dist for r in nearest.least_distance(spark.createDataFrame([(1, 3.0, 0.0)], kinds[0]), centres).collect()] == [3.0]
 
 
 def test_vegetation(spark):
