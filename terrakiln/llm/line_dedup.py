@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import checkpointed, empty_if_null, without
+from terrakiln.llm.common import attach, checkpointed, empty_if_null, without
 
 #: A host's list of boilerplate digests is broadcast up to this many digests in all.
 BROADCAST_DIGESTS = 200_000
@@ -18,7 +18,7 @@ def _digest(line):
 def boilerplate(df: DataFrame, host: str, text: str, min_pages: int, max_ratio: float) -> DataFrame:
     """One row per host with lines that more than `max_ratio` of its pages (and `min_pages` at least) contain.
 
-    Columns: _host, _drop (array of line digests). Each page counts once for a line, and a page has L lines,
+    Columns: _host, _drop (array of line digests), _pages. Each page counts once for a line, and a page has L lines,
     so a host has at most L / max_ratio such lines: the arrays are bounded by the pages' mean length.
     """
     pages = df.select(empty_if_null(F.col(host)).alias("_host"), F.col(text).alias("_text"))
@@ -34,7 +34,7 @@ def boilerplate(df: DataFrame, host: str, text: str, min_pages: int, max_ratio:
         per_line.join(totals, "_host")
         .where(F.col("_n") > F.lit(max_ratio) * F.col("_pages"))
         .groupBy("_host")
-        .agg(F.sort_array(F.collect_list("_line")).alias("_drop"))
+        .agg(F.sort_array(F.collect_list("_line")).alias("_drop"), F.max("_pages").alias("_pages"))
     )
 
 
@@ -47,14 +47,18 @@ def drop_boilerplate(
     A line goes, wherever it stands, if at least `min_pages` pages of its host and more than `max_ratio` of
     them have it. Blank lines stay. A null host is the host ''; a null text has no lines and stays null; a
     text that loses every line is ''. Repeated rows are pages of their own. Input columns named n_lines or
-    n_dropped are replaced.
+    n_dropped are replaced; one named _host, _drop, _lines or _kept raises ValueError.
     """
+    if clash := sorted({c.lower() for c in df.columns} & {"_host", "_drop", "_lines", "_kept"}):
+        raise ValueError(f"columns in the way: {clash}")
     found = checkpointed(boilerplate(df, host, text, min_pages, max_ratio))
     digests = found.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
-    if digests <= BROADCAST_DIGESTS:
-        found = F.broadcast(found)
     out = without(df, "n_lines", "n_dropped").withColumn("_host", empty_if_null(F.col(host)))
-    out = out.join(found, "_host", "left").withColumn("_lines", F.split(F.col(text), "\n"))
+    if digests <= BROADCAST_DIGESTS:
+        out = out.join(F.broadcast(found.drop("_pages")), "_host", "left")
+    else:  # a large host's pages are dealt over several tasks
+        out = attach(out, found, ["_host"], "_pages", "left", 0)
+    out = out.withColumn("_lines", F.split(F.col(text), "\n"))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", _digest(x)))
     )

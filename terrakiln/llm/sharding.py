@@ -69,13 +69,11 @@ def permuted(number: Column, rows: int, seed: int) -> Column:
 def numbered(df: DataFrame, key: str, ties: list[Column]) -> DataFrame:
     """`df` with long column _number from 0, in an order that only the rows' contents decide.
 
-    Buckets by a multiplicative hash of the key, within them the key and `ties`. The buckets are counted
-    first, their offsets broadcast (BUCKETS rows at most); no row is ever alone in one task.
+    Buckets by a hash of the key and `ties`, within them the key (null first) and `ties`. The buckets are
+    counted first, their offsets broadcast (BUCKETS rows at most). Rows without a key are spread by their
+    ties; only rows alike in all of these share a bucket whatever their number.
     """
-    x = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1).cast("long"))
-    mixed = x.bitwiseXOR(F.shiftright(x, 32)).bitwiseAND(F.lit(MASK))
-    bucket = F.shiftright((mixed * F.lit(1597334677).cast("long")).bitwiseAND(F.lit(MASK)), 20)
-    rows = df.withColumn("_bucket", bucket.cast("int"))
+    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{key}`"), *ties), F.lit(BUCKETS)).cast("int"))
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -84,11 +82,17 @@ def numbered(df: DataFrame, key: str, ties: list[Column]) -> DataFrame:
     return rows.withColumn("_number", F.col("_offset") + F.col("_rank") - 1).drop("_bucket", "_rank", "_offset")
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """ValueError if `df` has a column that the operator needs on its way."""
+    if clash := sorted({c.lower() for c in df.columns} & set(names)):
+        raise ValueError(f"columns in the way: {clash}")
+
+
 def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, seed: int = 20_11) -> DataFrame:
-    """(key, size, text_crc32, law, shard, slot, grown_shard) for every row; the law is `rows`.
+    """(key, size, text_crc32, law, shard, slot, grown_shard, number) for every row; the law is `rows`.
 
     The permuted number p of a row gives shard p mod `shards` and slot p div `shards`: counts differ by one
-    at most and slots have no gap. Anyone can compute both from the row's number, the row count and the seed.
+    at most and slots have no gap. Anyone can compute both from `number`, the row count and the seed.
     size: bytes of the text in UTF-8 and 8 more; a null text counts as empty, a null key sorts first.
     Rows with equal keys and texts are interchangeable and each gets its own slot; other columns are not read.
     """
@@ -114,6 +118,7 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
             (F.col("_place") % shards).cast("int").alias("shard"),
             F.call_function("div", F.col("_place"), F.lit(shards)).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
+            F.col("_number").cast("long").alias("number"),
         )
     )
 
@@ -121,12 +126,14 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, seed: int = 20_11) -> DataFrame:
     """All columns of `df` with size, text_crc32, law, shard and slot: rows take the places of `assign`.
 
-    Rows meet their places by key, digest of the text and their number among equal ones.
+    Rows meet their places by key, size and checksum of the text and their number among equal ones. Columns named
+    _k, _c, _s or _i raise ValueError.
     """
+    refuse(df, "_k", "_c", "_s", "_i")
     same = ["_k", "_c", "_s", "_i"]
     of = Window.partitionBy("_k", "_c", "_s")
     places = assign(df, key, text, shards, seed)
-    places = places.withColumns({"_k": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)), "_c": F.col("text_crc32"), "_s": F.col("size")}).drop(key, "grown_shard")
+    places = places.withColumns({"_k": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)), "_c": F.col("text_crc32"), "_s": F.col("size")}).drop(key, "grown_shard", "number")
     places = places.withColumn("_i", F.row_number().over(of.orderBy("shard", "slot")))
     value = empty_if_null(F.col(text))
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("size", "text_crc32", "law", "shard", "slot")])
