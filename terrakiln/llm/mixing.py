@@ -26,6 +26,8 @@ SLOPE_PENALTY = 1.0
 #: Posteriors within a cell of this many to a side share one rate: (GRID + 1) (GRID + 2) / 2 cells at most.
 GRID = 200
 SYMBOLS = "#*$%&|<>"
+#: Rates move on towards targets out of reach while a step leaves this part of the miss at most.
+MOST_LEFT, FREE_PULL = 0.5, 1e-3
 DOMAINS = ("clean", "low", "toxic")
 
 
@@ -218,7 +220,7 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("row", "doc_id", "digest", "tokens", *[(e / whole).alias(f"p_{d}") for d, e in raised.items()])
 
 
-def fit_rates(rows: DataFrame, targets: Targets, tolerance: float = 1e-4, least_pull: float = 1e-9) -> tuple[DataFrame, list[float], dict[str, float]]:
+def fit_rates(rows: DataFrame, targets: Targets, tolerance: float = 1e-4, least_pull: float = 1e-9, most_left: float = math.inf) -> tuple[DataFrame, list[float], dict[str, float]]:
     """`rows` with double column rate >= 0, the domains' expected tokens at these rates, and their targets.
 
     Nonnegative least squares: least |A r - b|^2 over r >= 0, A the expected tokens of the documents by domain
@@ -229,6 +231,8 @@ def fit_rates(rows: DataFrame, targets: Targets, tolerance: float = 1e-4, least_
     cells whose rate isn't 0, and halved while the distance doesn't fall. pull holds the rates near 1; it goes
     down tenfold from 0.1 until every domain is within `tolerance` of the budget, at last to `least_pull`, where the
     distance is that of least squares: g = 0 is its optimum's condition, also where targets are out of reach.
+    There the optimum lies in ever fewer documents of ever greater rates; with `most_left` the pull, from FREE_PULL on,
+    stops before a fall that leaves more than this part of the greatest miss, so that rates leave 1 only for a gain.
     """
     k = len(DOMAINS)
     at = {f"_{d}": F.floor(F.col(f"p_{d}") * GRID).cast("int") for d in DOMAINS[1:]}
@@ -266,7 +270,7 @@ def fit_rates(rows: DataFrame, targets: Targets, tolerance: float = 1e-4, least_
         return max(abs(x - y) for x, y in zip(now, b, strict=True))
 
     u, pull = [0.0] * k, 0.1
-    here = measured(u, pull)
+    here, held = measured(u, pull), None
     while True:
         for _ in range(8):
             if max(map(abs, here[1])) <= 1e-3 * min(off(here[3]), 1e-3):
@@ -284,6 +288,10 @@ def fit_rates(rows: DataFrame, targets: Targets, tolerance: float = 1e-4, least_
             u, here = tried, then
         if pull <= least_pull or off(here[3]) <= tolerance / 2 * sum(b):
             break
+        if pull < FREE_PULL and off(here[3]) > most_left * off(held[1][3]):
+            u, here = held
+            break
+        held = u, here
         pull = max(pull / 10, least_pull)
         here = measured(u, pull)
     rates = cells.select(*at, rate_at(u).alias("rate"))
@@ -312,7 +320,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Targets | None = None) ->
     """`mix` with the totals that its rates reach."""
     slim = docs.select("doc_id", F.col("text"))
     model = train(slim, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    rows, reached, goal = fit_rates(checkpointed(posteriors(slim, model)), targets or Targets())
+    rows, reached, goal = fit_rates(checkpointed(posteriors(slim, model)), targets or Targets(), most_left=MOST_LEFT)
     off = residuals(reached, goal)
     if off:
         LOG.warning("target shares not reached: %s of the goal's tokens", ", ".join(f"{d} {x:+.4f}" for d, x in off.items()))
@@ -329,6 +337,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Targets | None = None) -> D
     digest_of(text), so that runs agree. Null texts have no tokens; repeated rows are rows of their own, drawn
     alike; rows without an id are told by text. Labels that repeat count once (the first domain by name);
     null labels count for nothing. Empty tables give none. Targets that the posteriors can't meet are logged
-    with what is missing (`mixed` returns it); the rates are then those of least squares.
+    with what is missing (`mixed` returns it); the rates then stop near 1, as MOST_LEFT says.
     """
     return mixed(docs, labels, targets).rows

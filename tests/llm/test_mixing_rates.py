@@ -142,3 +142,20 @@ def test_calibration_against_plain_descent(spark):
         p = e / (1 + e.sum(1, keepdims=True))
         b -= 5e-4 * ((p - told).T @ full + mixing.SLOPE_PENALTY * b * [0, 1, 1])
     assert np.abs(got - b).max() < 1e-2
+
+
+def test_rates_stay_near_one_where_targets_are_out_of_reach(spark):
+    draw = np.random.default_rng(5)
+    p = np.r_[draw.dirichlet((95, 2, 3), 300), draw.dirichlet((5, 5, 90), 40), draw.dirichlet((5, 90, 5), 40)]
+    p[:, 2] += 0.03  # no document is under the target's share
+    p /= p.sum(1, keepdims=True)
+    tok = draw.integers(100, 500, len(p))
+    df = spark.createDataFrame([(i, int(tok[i]), *map(float, p[i])) for i in range(len(p))], SCHEMA)
+    kept, far = {}, {}
+    for left in (mixing.MOST_LEFT, math.inf):
+        rows, reached, goal = mixing.fit_rates(df, mixing.Targets(), most_left=left)
+        rate = np.array([r.rate for r in rows.orderBy("doc_id").collect()])
+        kept[left] = (rate[:300] > 0).mean(), rate.max()
+        far[left] = np.linalg.norm(np.array(reached) - np.array(list(goal.values()))) / sum(goal.values())
+    assert kept[mixing.MOST_LEFT][0] > 0.9 and kept[mixing.MOST_LEFT][1] < 5
+    assert far[math.inf] <= far[mixing.MOST_LEFT] < 3 * far[math.inf] and kept[math.inf][0] < kept[mixing.MOST_LEFT][0]
