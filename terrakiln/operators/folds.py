@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakiln.functions import geo
+from terrakiln.operators.order import cut
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,7 +24,8 @@ def kmeans_blocks(df: DataFrame, lon: str, lat: str, k: int, seed: int = 42, sta
     """`df` with spatial_group from 0 to k - 1: k-means on standardised places, the best of `starts` starts."""
     if df.limit(k).count() < k:
         raise ValueError(f"fewer rows than {k} groups")
-    ready = VectorAssembler(inputCols=[f"z_{lon}", f"z_{lat}"], outputCol="_place").transform(standardise(df, [lon, lat])).persist()
+    ready = VectorAssembler(inputCols=[f"z_{lon}", f"z_{lat}"], outputCol="_place").transform(standardise(df, [lon, lat]))
+    ready = cut(ready)
     models = [KMeans(k=k, seed=seed + i, featuresCol="_place", predictionCol="spatial_group").fit(ready) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(ready).drop("_place", f"z_{lon}", f"z_{lat}")

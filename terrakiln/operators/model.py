@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrakiln.operators.assemble import impute, medians
 from terrakiln.operators.folds import group_folds, temporal_split
-from terrakiln.operators.order import running_total
+from terrakiln.operators.order import cut, running_total
 
 #: The columns whose importances make up each exported factor, and the factors that must be there.
 FACTORS = {
@@ -189,7 +189,7 @@ def mean_contributions(model: Trained, df: DataFrame, top: int = 15) -> DataFram
 
     A model-agnostic stand-in for tree explanations: one prediction of the rows per feature, all in the cluster.
     """
-    base = model.predict(df).withColumnRenamed("p1", "_p").withColumn("_row", F.monotonically_increasing_id()).persist()
+    base = cut(model.predict(df).withColumnRenamed("p1", "_p"))
     out = None
     for c in model.features:
         moved = model.predict(base.drop("prediction").withColumn(c, F.lit(model.medians[c])))

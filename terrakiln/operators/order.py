@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder, or kept in memory and on disk where there is none (one process)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """`df` written to the folder in spark.checkpoint.dir, its lineage cut; a temporary folder serves where that is unset and Spark runs in one process."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
 
 def running_total(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
