@@ -74,7 +74,14 @@ def polyline_distance(px: Column, py: Column, line: Column) -> Column:
 
 
 def ring_moments(ring: Column) -> Column:
-    """Struct a, mx, my of a closed ring (array of structs x, y): twice its signed area and its first moments, about its first vertex."""
+    """Struct a, mx, my of a closed ring (array of structs x, y): twice its signed area and its first moments, about its first vertex.
+
+    The ring is bound to a lambda's variable: an expression would be made anew at each vertex.
+    """
+    return F.transform(F.array(ring), _moments)[0]
+
+
+def _moments(ring: Column) -> Column:
     first = ring[0]
     steps = F.sequence(F.lit(1), F.size(ring) - 1)
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
@@ -91,11 +98,15 @@ def ring_moments(ring: Column) -> Column:
 def ring_point(ring: Column) -> Column:
     """Struct x, y: the area-weighted centroid; nulls for a ring without area or with fewer than four vertices.
 
-    The moments are bound to a lambda's variable, so that they are computed once.
+    Ring and moments are bound to lambdas' variables, so that they are computed once.
     """
+    return F.transform(F.array(ring), _point)[0]
+
+
+def _point(ring: Column) -> Column:
     first = ring[0]
     return F.transform(
-        F.array(ring_moments(ring)),
+        F.array(_moments(ring)),
         lambda m: F.struct((first["x"] + F.try_divide(m["mx"], 3 * m["a"])).alias("x"), (first["y"] + F.try_divide(m["my"], 3 * m["a"])).alias("y")),
     )[0]
 
@@ -149,7 +160,7 @@ def _ring_valid(ring: Column) -> Column:
     )
     crossing = F.when(F.size(ring) >= 5, pairs).otherwise(F.lit(False))
     closed = (at(0)["x"] == at(n)["x"]) & (at(0)["y"] == at(n)["y"])
-    return F.coalesce(F.when(F.size(ring) >= 4, closed & (ring_moments(ring)["a"] != 0) & ~crossing), F.lit(False))
+    return F.coalesce(F.when(F.size(ring) >= 4, closed & (_moments(ring)["a"] != 0) & ~crossing), F.lit(False))
 
 
 def inside(lon: Column, lat: Column, bounds: tuple[float, float, float, float]) -> Column:
