@@ -62,8 +62,9 @@ def build_matrix(
     """Fires with their feature tables and is_fire 1, and below them negatives with extracted features and is_fire 0.
 
     `limit`: the first fires by key only. `negatives` makes as many points as asked: the fires' number times
-    `ratio`, half to even. Without them (`skip_pseudo`), without their features (`skip_pseudo_extract`) or where
-    no point was found the fires stand alone.
+    `ratio`, half to even. Without them (`skip_pseudo`) or without their features (`skip_pseudo_extract`) the
+    fires stand alone. Where no point was found they do too, with the extracted features' columns, null: the
+    columns follow from what is asked for, not from the rows.
     """
     base = head(require(fires, [key]), key, limit).withColumn("is_fire", F.lit(1))
     found = join_features(base, tables, key, required)
@@ -71,7 +72,7 @@ def build_matrix(
         LOG.info("no negatives asked for")
         return found
     points = negatives(negatives_wanted(base.count(), ratio))
-    if skip_pseudo_extract or points.isEmpty():
+    if skip_pseudo_extract:
         LOG.info("negatives without features are left out")
         return found
     return matrix([found, point_features(points, extractors, key).withColumn("is_fire", F.lit(0))])

@@ -46,6 +46,15 @@ def test_build_matrix(spark):
     assert build.matched(build.build_matrix(fires, tables, negatives, extractors, skip_pseudo=True), "slope").first()[:] == (3, 2)
 
 
+def test_matrix_without_negatives_has_their_columns(spark):
+    fires = spark.createDataFrame([(1, -120.0, 38.0)], "object_id long, centroid_lon double, centroid_lat double")
+    none = lambda n: spark.createDataFrame([], "object_id long, lon double, lat double, alarm timestamp_ntz")
+    extractors = {"place": lambda p: p.select("object_id", F.round(F.col("centroid_lon"), 6).alias("place"))}
+    got = build.build_matrix(fires, {}, none, extractors)
+    assert [(r.object_id, r.is_fire, r.place) for r in got.collect()] == [(1, 1, None)]
+    assert dict(got.dtypes)["place"] == "double"
+
+
 def test_groups_and_tables(spark, tmp_path):
     df = points(spark, 60)
     assert [training.group_count(*x) for x in ((10, 5, 60), (3, 5, 60), (10, 5, 4), (3, 5, 4))] == [10, 5, 4, 4]
