@@ -21,10 +21,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Parquet options for rows of a megabyte and more: by default a page has 100 rows at least before its size is looked at,
+#: and Snappy holds whole pages outside the heap.
+WIDE_ROWS = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def stored(df: DataFrame, **options: str | int) -> DataFrame:
     """`checkpointed` as a Parquet table in the same folder, a fraction of the size; for tables as large as the corpus."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

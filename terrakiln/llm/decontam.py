@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrakiln.llm.common import stored
+from terrakiln.llm.common import WIDE_ROWS, stored
 
 WINDOW = 10
 #: Items are searched in blocks of about so many bytes of text; a block's words are what is broadcast.
@@ -45,12 +45,14 @@ def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str
         yield block
 
 
-def index(docs: DataFrame, gap: int) -> DataFrame:
+def segments(docs: DataFrame, gap: int) -> DataFrame:
     """The positional inverted index of all words of `docs` (doc_id, row, text), one row a segment.
 
     A segment holds the documents of some consecutive rows of a partition: docs (row, doc_id, words, and the
     place where it starts; documents are `gap` places apart, so that nothing near spans two), its terms, how
-    many places each has, and the places, term after term and ascending.
+    many places each has, and the places, term after term and ascending. These three are packed (the terms
+    with a space between them, which no word has, the numbers as 32 bits), so that the JVM moves bytes
+    instead of unfolding some 100,000 values a row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -64,9 +66,10 @@ def index(docs: DataFrame, gap: int) -> DataFrame:
             terms = coded.indices.to_numpy()
             places = (np.arange(len(words)) + np.repeat(starts - before, n)).astype(np.int32)
             sizes = np.bincount(terms, minlength=len(coded.dictionary)).astype(np.int32)
-            columns = [own.column(1), own.column(0), pa.array(n), pa.array(starts), coded.dictionary, pa.array(sizes), pa.array(places[np.argsort(terms, kind="stable")])]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            return pa.RecordBatch.from_arrays(lists, names=["rows", "doc_ids", "counts", "starts", "terms", "sizes", "places"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (own.column(1), own.column(0), pa.array(n), pa.array(starts))]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar(b" ", pa.binary()))
+            numbers = [pa.array([x.tobytes()], pa.binary()) for x in (sizes, places[np.argsort(terms, kind="stable")])]
+            return pa.RecordBatch.from_arrays([*lists, joined, *numbers], names=["rows", "doc_ids", "counts", "starts", "terms", "sizes", "places"])
 
         for batch in batches:
             counts, words, first = [], [], 0
@@ -80,10 +83,33 @@ def index(docs: DataFrame, gap: int) -> DataFrame:
             if counts:
                 yield made(batch, first, counts, words)
 
-    schema = f"rows array<long>, doc_ids array<{kind}>, counts array<int>, starts array<int>, terms array<binary>, sizes array<int>, places array<int>"
+    schema = f"rows array<long>, doc_ids array<{kind}>, counts array<int>, starts array<int>, terms binary, sizes binary, places binary"
     return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
+def _terms(packed: pa.Scalar) -> pa.Array:
+    return pa.array(packed.as_py().split(), pa.binary())
+
+
+def _numbers(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), np.int32)
+
+
+def index(docs: DataFrame, gap: int) -> DataFrame:
+    """`segments` with terms (binary), sizes and places (int) as arrays."""
+    packed = segments(docs, gap)
+    plain = ["rows", "doc_ids", "counts", "starts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [pa.array([_terms(x).to_pylist() for x in batch.column("terms")], pa.list_(pa.binary()))]
+            arrays += [pa.array([_numbers(x) for x in batch.column(c)], pa.list_(pa.int32())) for c in ("sizes", "places")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *arrays], names=batch.schema.names)
+
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in plain)
+    return packed.mapInArrow(run, f"{kinds}, terms array<binary>, sizes array<int>, places array<int>")
+
+
 class Block:
     """A block's items, and its windows as rows of term numbers, by length."""
 
@@ -186,13 +212,13 @@ def search(indexed: DataFrame, block: Block, counts: dict[bytes, int], slop: int
         longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
         for batch in batches:
             for segment in range(batch.num_rows):
-                rows, starts, counts, terms, sizes, places = (batch.column(k)[segment].values for k in range(6))
-                numbers = pc.index_in(terms.cast(pa.binary()), value_set=wanted)
+                rows, starts, counts = (batch.column(k)[segment].values for k in range(3))
+                numbers = pc.index_in(_terms(batch.column(3)[segment]), value_set=wanted)
                 met = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False))
                 if not len(met):
                     continue
-                ends = np.cumsum(sizes.to_numpy())
-                places, sizes = places.to_numpy(), sizes.to_numpy()
+                sizes, places = (_numbers(batch.column(k)[segment]) for k in (4, 5))
+                ends = np.cumsum(sizes)
                 lists = {t: places[ends[k] - sizes[k] : ends[k]] for k, t in zip(met.tolist(), numbers.take(pa.array(met)).to_pylist(), strict=True)}
                 first = starts.to_numpy().astype(np.int64)
                 out: dict[int, tuple[list, list, set, set]] = {}
@@ -218,9 +244,21 @@ def search(indexed: DataFrame, block: Block, counts: dict[bytes, int], slop: int
 
 def frequencies(indexed: DataFrame, block: Block) -> dict[bytes, int]:
     """How often each of the block's terms stands in all texts."""
-    wanted = F.broadcast(indexed.sparkSession.createDataFrame([(bytearray(t),) for t in block.terms], "term binary"))
-    terms = indexed.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("sizes").alias("n"))).alias("x")).select("x.*")
-    return {bytes(t): n for t, n in terms.join(wanted, "term").groupBy("term").agg(F.sum("n")).collect()}
+    shared = indexed.sparkSession.sparkContext.broadcast(block.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(shared.value, pa.binary())
+        for batch in batches:
+            total = np.zeros(len(wanted), np.int64)
+            for terms, sizes in zip(*batch.columns, strict=True):
+                numbers = pc.index_in(_terms(terms), value_set=wanted)
+                met = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False))
+                total[numbers.take(pa.array(met)).to_numpy()] += _numbers(sizes)[met]
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
+
+    found = indexed.select("terms", "sizes").mapInArrow(run, "term long, n long")
+    return {block.terms[t]: n for t, n in found.groupBy("term").agg(F.sum("n")).collect()}
 
 
 def decontaminate(
@@ -237,7 +275,7 @@ def decontaminate(
     are one item. Repeated rows come out as often as they come in; other columns are not read.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    indexed = stored(index(source, size + slop + 1))
+    indexed = stored(segments(source, size + slop + 1), **WIDE_ROWS)
     of_docs = F.explode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("rows").alias("row"), F.col("counts").alias("n_words")))
     listed = indexed.select(of_docs.alias("x")).select("x.doc_id", "x.row", F.col("x.n_words").cast("long").alias("n_words"))
     found = []

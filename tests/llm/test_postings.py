@@ -1,8 +1,9 @@
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrakiln.llm import decontam
+from terrakiln.llm import common, decontam
 from tests.llm import brute
 
 
@@ -62,3 +63,20 @@ def test_index_holds_every_place(spark, monkeypatch):
         for doc, n, start in zip(s.doc_ids, s.counts, s.starts, strict=True):
             found[doc] = b" ".join(at[start + k] for k in range(n)).decode()
     assert found == {d: t or "" for d, t in docs}
+
+
+def test_index_is_stored_in_small_parts(spark, tmp_path, monkeypatch):
+    """Neither a page nor a row group grows with the number of segments in a task: both are held in memory, pages beyond the heap too."""
+    draw = random.Random(8)
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 100_000)
+    kept = []
+    monkeypatch.setattr(decontam, "stored", lambda df, **options: kept.append(common.stored(df, **options)) or kept[-1])
+    text = " ".join(f"w{draw.randrange(1 << 30)}" for _ in range(100_000))
+    docs = spark.range(24).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    items = spark.createDataFrame([(1, " ".join(text.split()[5:20]))], "item_id long, text string")
+    assert {(r.n_words, r.n_hit) for r in decontam.decontaminate(docs, items).collect()} == {(100_000, 15)}
+    for file in kept[0].inputFiles():
+        groups = pq.ParquetFile(file.removeprefix("file:")).metadata
+        assert groups.num_rows == 24
+        assert max(groups.row_group(k).total_byte_size for k in range(groups.num_row_groups)) < 24_000_000
+        assert all(groups.row_group(k).column(c).num_values <= 100 for k in range(groups.num_row_groups) for c in range(groups.num_columns))
