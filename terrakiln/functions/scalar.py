@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The marks of missing pixels in slope, aspect and composite rasters.
 SLOPE_NODATA, ASPECT_NODATA, COMPOSITE_NODATA = 255, 32767, -9999.0
+#: `uniform` repeats itself after so many numbers.
+PERIOD = 1_000_003
 
 
 def finite(value: Column) -> Column:
@@ -83,6 +85,11 @@ def normalised_difference(low: Column, high: Column) -> Column:
     return finite(F.try_divide(high - low, high + low))
 
 
-def uniform(number: Column, a: int, b: int, seed: int, m: int = 1_000_003) -> Column:
+def uniform(number: Column, a: int, b: int, seed: int, m: int = PERIOD) -> Column:
     """A reproducible fraction of [0, 1) for an integer: integer arithmetic that any SQL engine can repeat."""
     return F.pmod(number.cast("bigint") * F.lit(a).cast("bigint") + F.lit(b * seed).cast("bigint"), F.lit(m).cast("bigint")) / F.lit(float(m))
+
+
+def half_away(value: Column, digits: int) -> Column:
+    """Rounded as DuckDB rounds a double: scaled, to the nearest whole number, halves away from zero, and back."""
+    return F.round(value * F.lit(10.0**digits)) / F.lit(10.0**digits)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrakiln.functions import geo
-from terrakiln.functions.scalar import finite, uniform
+from terrakiln.functions.scalar import PERIOD, finite, uniform
+from terrakiln.logs import logger
 from terrakiln.operators.nearest import outside
 from terrakiln.operators.order import running_total
 
+LOG = logger(__name__)
+
 
 def merge(base: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on the key; columns that both have come from the base. Repeated keys on the right fan out."""
@@ -32,27 +36,54 @@ def join_features(base: DataFrame, tables: dict[str, DataFrame | None], key: str
     return base
 
 
-def pseudo_absences(
-    centres: DataFrame, dates: DataFrame, count: int, attempts: int, radius_km: float, bounds: tuple[float, float, float, float], seed: int
-) -> DataFrame:
-    """object_id (-1, -2, ...), lon, lat, alarm of `count` random points at least `radius_km` from every centre (lon, lat).
-
-    Attempt i has its own place in the box, whatever happens to others, and points are accepted in the
-    order of the attempts. The k-th point takes date number (k * 7919) mod n of the dates in order, a rank
-    join: the dates stay in the cluster. No date: null. Fewer places than asked: fewer rows.
-    """
-    spark = centres.sparkSession
+def _free(centres: DataFrame, attempts: int, radius_km: float, bounds: tuple[float, float, float, float], seed: int) -> DataFrame:
+    """point_id, lon, lat of the attempts 1 to `attempts` whose place in the box is at least `radius_km` from every centre."""
     west, south, east, north = bounds
-    tries = spark.range(1, attempts + 1).withColumnRenamed("id", "point_id")
+    tries = centres.sparkSession.range(1, attempts + 1).withColumnRenamed("id", "point_id")
     lon = F.lit(west) + uniform(F.col("point_id"), 104729, 31, seed) * F.lit(east - west)
     lat = F.lit(south) + uniform(F.col("point_id"), 224737, 57, seed) * F.lit(north - south)
     tries = tries.withColumns({"lon": lon, "lat": lat})
     x, y = geo.albers(F.col("lon"), F.col("lat"))
     tries = tries.withColumns({"px": x, "py": y})
     cx, cy = geo.albers(F.col("lon"), F.col("lat"))
-    free = outside(tries, centres.select(cx.alias("cx"), cy.alias("cy")), radius_km * 1000.0)
-    # At most `attempts` rows are left, a parameter.
-    ordered = free.withColumn("k", F.row_number().over(Window.orderBy("point_id"))).where(F.col("k") <= count)
+    return outside(tries, centres.select(cx.alias("cx"), cy.alias("cy")), radius_km * 1000.0).select("point_id", "lon", "lat")
+
+
+def _until(count: int, free: Callable[[int], DataFrame]) -> DataFrame:
+    """k, lon, lat of the first `count` free attempts, however many attempts that takes.
+
+    Attempt i + PERIOD has the place of attempt i, so one period shows every place: free ones come again in
+    its order, and where none is free none ever is.
+    """
+    tried = min(2 * count, PERIOD)
+    while True:
+        ranked = running_total(free(tried), "point_id", F.lit(1), "rank")
+        found = ranked.count()
+        if found >= count or tried == PERIOD:
+            break
+        tried = min(4 * tried, PERIOD)
+    if found < count:
+        LOG.warning("%d points are asked for and %d places are free", count, found)
+    numbers = ranked.sparkSession.range(1, count + 1).select(F.col("id").alias("k"), ((F.col("id") - 1) % max(found, 1)).alias("rank"))
+    return numbers.join(ranked.select("rank", "lon", "lat"), "rank").drop("rank")
+
+
+def pseudo_absences(
+    centres: DataFrame, dates: DataFrame, count: int, attempts: int | None, radius_km: float, bounds: tuple[float, float, float, float], seed: int
+) -> DataFrame:
+    """object_id (-1, -2, ...), lon, lat, alarm of `count` random points at least `radius_km` from every centre (lon, lat).
+
+    Attempt i has its own place in the box, whatever happens to others, and points are accepted in the
+    order of the attempts. The k-th point takes date number (k * 7919) mod n of the dates in order, a rank
+    join: the dates stay in the cluster. No date: null. Fewer places than asked in `attempts` attempts: fewer
+    rows. Without a number of attempts they go on until there are `count` points, or no place of the box is free.
+    """
+    if attempts is None:
+        ordered = _until(count, lambda n: _free(centres, n, radius_km, bounds, seed))
+    else:
+        # At most `attempts` rows are left, a parameter.
+        free = _free(centres, attempts, radius_km, bounds, seed)
+        ordered = free.withColumn("k", F.row_number().over(Window.orderBy("point_id"))).where(F.col("k") <= count)
     known = dates.where(F.col("alarm").isNotNull()).select("alarm").distinct()
     numbered = running_total(known, "alarm", F.lit(1), "number")
     total = numbered.count()

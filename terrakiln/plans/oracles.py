@@ -94,6 +94,20 @@ dates AS (SELECT o_orderdate AS alarm, row_number() OVER (ORDER BY o_orderdate)
 negatives AS (
   SELECT CAST(-k AS BIGINT) AS object_id, round(lon, 9) AS lon, round(lat, 9) AS lat, d.alarm
   FROM numbered LEFT JOIN dates d ON d.number = (k * 7919) % (SELECT count(*) FROM dates) WHERE k <= 40)"""
+#: As many as orders, which are the fires. One period of the attempts holds every place, and the free ones come again in its order.
+_ALL_NEGATIVES = f"""{PLACES},
+centres AS (SELECT DISTINCT cx, cy, floor(cx / 5000) AS i5, floor(cy / 5000) AS j5 FROM (SELECT {_PX} AS cx, {_PY} AS cy FROM places)),
+tries AS (SELECT i, -124.5e0 + {uniform("i", 104729, 31)} * 10.5e0 AS lon, 32.5e0 + {uniform("i", 224737, 57)} * 9.5e0 AS lat FROM range(1, 1000004) AS t(i)),
+projected AS (SELECT i, lon, lat, {_PX} AS px, {_PY} AS py FROM tries),
+asked AS (SELECT i, px, py, floor(px / 5000) + a AS i5, floor(py / 5000) + b AS j5 FROM projected, range(-1, 2) AS s(a), range(-1, 2) AS u(b)),
+taken AS (SELECT DISTINCT i FROM asked p JOIN centres c USING (i5, j5) WHERE sqrt((p.px - c.cx) * (p.px - c.cx) + (p.py - c.cy) * (p.py - c.cy)) < 5000),
+free AS (SELECT lon, lat, row_number() OVER (ORDER BY i) - 1 AS place FROM projected ANTI JOIN taken USING (i)),
+dates AS (SELECT o_orderdate AS alarm, row_number() OVER (ORDER BY o_orderdate) - 1 AS number FROM (SELECT DISTINCT o_orderdate FROM orders)),
+sizes AS (SELECT (SELECT count(*) FROM orders) AS n_fires, (SELECT count(*) FROM free) AS n_free, (SELECT count(*) FROM dates) AS n_dates),
+wanted AS (SELECT k, (k - 1) % n_free AS place, (k * 7919) % n_dates AS number FROM (SELECT unnest(range(1, n_fires + 1)) AS k, n_free, n_dates FROM sizes)),
+negatives AS (
+  SELECT CAST(-k AS BIGINT) AS object_id, round(lon, 9) AS lon, round(lat, 9) AS lat, d.alarm
+  FROM wanted JOIN free USING (place) LEFT JOIN dates d USING (number))"""
 _EPOCHS = "epochs AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) ELSE -1 END AS year FROM orders)"
 _SCORED = "scored AS (SELECT doc_id, quality, n_chars, CAST(doc_id % 5 AS INTEGER) AS fold, CAST(n_chars > 900 AS INTEGER) AS predicted FROM labels JOIN documents USING (doc_id))"
 _NAMES = ", ".join(f"'{x}'" for x in FEATURES)
@@ -271,7 +285,7 @@ folds AS (SELECT fold, (sum(r) FILTER (quality = 1) - count(*) FILTER (quality =
 SELECT fold, 'Fold ' || (fold + 1) AS title, round(auc, 9) AS auc, printf('%.3f', auc) AS label, round(avg(auc) OVER (), 9) AS mean FROM folds WHERE auc IS NOT NULL""",
     "q68_point_features": f"""WITH {PLACES} SELECT custkey AS object_id, round(lon, 6) AS centroid_lon, round(lat, 6) AS centroid_lat,
        CASE WHEN custkey % 2 = 0 THEN CAST(custkey % 7 AS DOUBLE) END AS slope, round(lon + lat, 6) AS place FROM places""",
-    "q69_build_matrix": f"""WITH {_NEGATIVES}, {INCIDENTS}
+    "q69_build_matrix": f"""WITH {_ALL_NEGATIVES}, {INCIDENTS}
 SELECT object_id, round(lon, 9) AS centroid_lon, round(lat, 9) AS centroid_lat, alarm, 1 AS is_fire, CAST(l.slope AS DOUBLE) AS slope, CAST(NULL AS DOUBLE) AS place, CAST(NULL AS DOUBLE) AS ndvi
 FROM incidents LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS slope FROM lineitem GROUP BY 1) l ON l.l_orderkey = object_id
 UNION ALL SELECT object_id, lon, lat, alarm, 0, CASE WHEN object_id % 2 = 0 THEN CAST(object_id % 7 AS DOUBLE) END, round(lon + lat, 6), 0.5e0 FROM negatives""",

@@ -205,9 +205,9 @@ def q23_feature_join(spark: SparkSession, d: str) -> DataFrame:
     return assemble.join_features(base, parts, "object_id", ("weather", "terrain", "spatial"))
 
 
-def _negatives(spark: SparkSession, d: str) -> DataFrame:
+def _negatives(spark: SparkSession, d: str, count: int = 40, attempts: int | None = P.pseudo_attempts) -> DataFrame:
     dates = table(spark, d, "orders").select(F.col("o_orderdate").alias("alarm"))
-    return assemble.pseudo_absences(_customers(spark, d), dates, 40, P.pseudo_attempts, 5.0, P.bounds, P.seed)
+    return assemble.pseudo_absences(_customers(spark, d), dates, count, attempts, 5.0, P.bounds, P.seed)
 
 
 def q24_pseudo_absence(spark: SparkSession, d: str) -> DataFrame:
@@ -461,7 +461,7 @@ def _extractors(spark: SparkSession, d: str) -> dict[str, build.Extractor]:
     """Features of a point by its number: of every second point, and by its place."""
     return {
         "terrain": lambda p: p.where("object_id % 2 = 0").select("object_id", (F.col("object_id") % 7).cast("double").alias("slope")),
-        "spatial": lambda p: p.select("object_id", F.round(F.col("centroid_lon") + F.col("centroid_lat"), 6).alias("place"), F.lit(9.0).alias("slope")),
+        "spatial": lambda p: p.select("object_id", scalar.half_away(F.col("centroid_lon") + F.col("centroid_lat"), 6).alias("place"), F.lit(9.0).alias("slope")),
         "vegetation": lambda p: p.select("object_id", F.lit(0.5).alias("ndvi")),
     }
 
@@ -473,9 +473,11 @@ def q68_point_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q69_build_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """As many negatives as fires, however many attempts they take."""
     fires = _incidents(spark, d).select("object_id", F.col("lon").alias("centroid_lon"), F.col("lat").alias("centroid_lat"), "alarm")
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("object_id")).agg(F.max("l_quantity").alias("slope"))
-    out = build.build_matrix(fires, {"terrain": lines, "water": None}, lambda n: _negatives(spark, d), _extractors(spark, d), required=("terrain",))
+    negatives = lambda n: _negatives(spark, d, n, None).withColumns({c: scalar.half_away(F.col(c), 9) for c in ("lon", "lat")})
+    out = build.build_matrix(fires, {"terrain": lines, "water": None}, negatives, _extractors(spark, d), required=("terrain",))
     return out.select("object_id", F.round("centroid_lon", 9).alias("centroid_lon"), F.round("centroid_lat", 9).alias("centroid_lat"), "alarm", "is_fire", "slope", "place", "ndvi")
 
 

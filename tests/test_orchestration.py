@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from terrakiln import cli, logs
 from terrakiln.functions import geo
-from terrakiln.operators import build, model, order, report, training
+from terrakiln.operators import assemble, build, model, order, report, training
+from terrakiln.plans.queries import QUERIES
 from terrakiln.sources import fetch
 
 
@@ -55,6 +56,26 @@ def test_matrix_without_negatives_has_their_columns(spark):
     assert dict(got.dtypes)["place"] == "double"
 
 
+def test_negatives_are_as_many_as_asked(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "PERIOD", 97)
+    centres = spark.createDataFrame([(-121.0, 38.0), (-120.5, 38.5)], "lon double, lat double")
+    dates = spark.createDataFrame([(dt.datetime(2020, 1, d),) for d in range(1, 8)], "alarm timestamp_ntz")
+    place = lambda count, attempts, km=150.0: assemble.pseudo_absences(centres, dates, count, attempts, km, (-124.5, 32.5, -114.0, 42.0), 42).orderBy(F.desc("object_id")).collect()
+    once = place(97, 97)  # every free place of the period
+    assert 2 < len(once) < 97
+    for count in (0, 2, len(once), 97, 300):
+        got = place(count, None)
+        assert [r.object_id for r in got] == [-k for k in range(1, count + 1)]
+        assert [(r.lon, r.lat) for r in got] == [(once[i % len(once)].lon, once[i % len(once)].lat) for i in range(count)]
+        assert [r.alarm for r in got] == [dt.datetime(2020, 1, 1 + k * 7919 % 7) for k in range(1, count + 1)]
+    assert place(5, None, 5000.0) == []  # no place is free
+
+
+def test_query_has_a_negative_for_each_fire(spark, sf):
+    got = {r.is_fire: r["count"] for r in QUERIES["q69_build_matrix"](spark, sf).groupBy("is_fire").count().collect()}
+    assert got[0] == got[1] == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
 def test_groups_and_tables(spark, tmp_path):
     df = points(spark, 60)
     assert [training.group_count(*x) for x in ((10, 5, 60), (3, 5, 60), (10, 5, 4), (3, 5, 4))] == [10, 5, 4, 4]
